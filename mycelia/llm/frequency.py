@@ -90,20 +90,25 @@ def item_counts(lists: DataFrame, heavy: list[str]) -> DataFrame:
     return parts.groupBy("item").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def marked(counts: DataFrame, total: DataFrame, rare_below: int = 3, common_above: float = 0.05) -> DataFrame:
-    """``counts`` with ``mark``: ``rare`` below so many records, ``common`` above that share of ``total.total`` records, else null.
+def marked(counts: DataFrame, total: int, rare_below: int = 3, common_above: float = 0.05) -> DataFrame:
+    """``counts`` with ``mark``: ``rare`` below so many records, ``common`` above that share of ``total`` records, else null.
 
     An item that is both (a tiny table) is marked ``rare``.
     """
-    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.col("total") * common_above, "common")
-    return counts.crossJoin(F.broadcast(total)).withColumn("mark", mark).drop("total")
+    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > total * common_above, "common")
+    return counts.withColumn("mark", mark)
+
+
+def _total(rows: DataFrame) -> int:
+    """The number of records, one number on the driver."""
+    return rows.agg(F.count(F.lit(1))).first()[0]
 
 
 def lemma_frequencies(sentence_data: DataFrame) -> DataFrame:
     """``item, occurrences, records, mark`` of every lemma, byte for byte, over records with at least one token."""
     rows = once(sentence_data.select("rec_id", F.col("tokens.lemma").alias("items")).where("size(items) > 0"), "rec_id").select("items")
     heavy = heavy_items(sentence_data.where("size(tokens) > 0").select("tokens.lemma"))
-    return marked(item_counts(rows, heavy), rows.agg(F.count(F.lit(1)).alias("total")))
+    return marked(item_counts(rows, heavy), _total(rows))
 
 
 def counter_frequencies(graph_edge: DataFrame) -> DataFrame:
@@ -112,7 +117,7 @@ def counter_frequencies(graph_edge: DataFrame) -> DataFrame:
     some = graph_edge.where("repetition_counter IS NOT NULL")
     rows = once(some.select("edge_id", value), "edge_id").select("items")
     heavy = heavy_items(some.select(value))
-    return marked(item_counts(rows, heavy), rows.agg(F.count(F.lit(1)).alias("total")))
+    return marked(item_counts(rows, heavy), _total(rows))
 
 
 def marked_items(sentence_data: DataFrame, graph_edge: DataFrame) -> DataFrame:
