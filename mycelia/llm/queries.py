@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from mycelia.llm import frequency, tokenizer
+from mycelia.llm import encoding, frequency, tokenizer
 from mycelia.plans.tables import table
 
 QUERIES = {
+    "p6_found": lambda spark, d: encoding.garbled_records(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")),
+    "p6_repaired": lambda spark, d: encoding.repaired_records(table(spark, d, "sentence_data"), encoding.sample_sentences(table(spark, d, "lang_sample"))).distinct(),
     "p7_found": lambda spark, d: frequency.marked_items(table(spark, d, "sentence_data"), table(spark, d, "graph_edge")),
     "p8_ids": lambda spark, d: tokenizer.encode_column(table(spark, d, "documents")),
 }
