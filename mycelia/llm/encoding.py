@@ -128,7 +128,7 @@ class Repairer:
         self._turned: dict[str, tuple[str | None, bool]] = {}
 
     # -- UTF-8 read as a code page -------------------------------------------------------------
-    def _multi_once(self, text: str) -> tuple[str, int]:
+    def _multi_once(self, text: str) -> list[tuple[int, int, str]]:
         spans: dict[str, list[list[int]]] = {}
         for end, pages in self.multi.iter(text):
             start = end - 1
@@ -145,7 +145,7 @@ class Repairer:
                 else:
                     own.append([start, start + n, 1])
         if not spans:
-            return text, 0
+            return []
         found: list[tuple[int, int, str]] = []
         for page, own in spans.items():
             for a, b, n in own:
@@ -161,10 +161,7 @@ class Repairer:
         for a, b, fixed in found:
             if all(b <= x or a >= y for x, y, _ in taken):
                 taken.append((a, b, fixed))
-        taken.sort(reverse=True)
-        for a, b, fixed in taken:
-            text = text[:a] + fixed + text[b:]
-        return text, len(taken)
+        return sorted(taken)
 
     @staticmethod
     def _length(text: str, start: int, page: str) -> int:
@@ -193,7 +190,7 @@ class Repairer:
         return not any(c.isspace() and c != "\xa0" for c in seq)
 
     # -- one code page read as another ---------------------------------------------------------
-    def _single_once(self, text: str) -> tuple[str, int]:
+    def _single_once(self, text: str) -> list[tuple[int, int, str]]:
         turned: list[tuple[int, int, str]] = []
         weak: list[tuple[int, int, str]] = []
         for m in _WORD.finditer(text):
@@ -214,12 +211,7 @@ class Repairer:
         if weak:
             turned += self._together(weak)
             turned.sort()
-        pieces: list[str] = []
-        last = 0
-        for a, b, fixed in turned:
-            pieces += text[last:a], fixed
-            last = b
-        return ("".join(pieces) + text[last:], len(turned)) if turned else (text, 0)
+        return turned
 
     def _together(self, weak: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         """Words too short or rare to tell by themselves, turned back if one pair explains all of them."""
@@ -281,21 +273,22 @@ class Repairer:
     # -- both ----------------------------------------------------------------------------------
     def repair(self, text: str | None) -> tuple[str | None, str | None]:
         """``(text, state)``: state is ``restorable``, ``lost`` or null where nothing is garbled."""
+        return self.repair_mapped(text)[:2]
+
+    def repair_mapped(self, text: str | None) -> tuple[str | None, str | None, list[int] | None]:
+        """As :meth:`repair`, with the place in the given text of every character of the repaired one (null if nothing changed)."""
         if not text:
-            return text, None
+            return text, None, None
         lost = bool(_LOST.search(text))
-        changed = 0
+        at: list[int] | None = None
         if not text.isascii():
-            for _ in range(3):
-                text, n = self._multi_once(text)
-                changed += n
-                if not n:
-                    break
-            text, n = self._single_once(text)
-            changed += n
+            for once in (self._multi_once, self._multi_once, self._multi_once, self._single_once):
+                spans = once(text)
+                if spans:
+                    text, at = _replace(text, at or list(range(len(text))), spans)
         if not lost and "?" in text:
             lost = self._questioned(text)
-        return text, "lost" if lost else "restorable" if changed else None
+        return text, "lost" if lost else "restorable" if at is not None else None, at
 
     def _questioned(self, text: str) -> bool:
         """Question marks in the place of letters or quotes."""
@@ -304,6 +297,23 @@ class Repairer:
         return bool(_QUESTIONED.search(text))
 
 
+def _replace(text: str, at: list[int], spans: list[tuple[int, int, str]]) -> tuple[str, list[int]]:
+    """Replaces ``spans`` and keeps the place of every character: a span's bytes are dealt out in order."""
+    pieces: list[str] = []
+    places: list[int] = []
+    last = 0
+    for a, b, fixed in spans:
+        pieces += text[last:a], fixed
+        places += at[last:a]
+        widths = [1] * len(fixed) if b - a == len(fixed) else [len(c.encode()) for c in fixed]
+        i = a
+        for w in widths:
+            places.append(at[min(i, b - 1)])
+            i += w
+        last = b
+    return "".join(pieces) + text[last:], places + at[last:]
+
+
 def _grams(word: str) -> list[str]:
     marked = f"^{word}$"
     return [marked[i : i + 3] for i in range(len(marked) - 2)] or [marked]
@@ -314,7 +324,7 @@ _ASCII_LETTER = re.compile("[A-Za-z]")
 _LOST = re.compile("�")
 _URL = re.compile(r"\S*(?:https?://|www\.)\S*")
 #: a mark between letters, a run of marks that is no end of a sentence, or a mark before a word after a blank
-_QUESTIONED = re.compile(r"[^\W\d_]\?[^\W\d_]|\?{3,}|(?:^|\s)\?{1,2}[^\W\d_]|[^\W\d_]\?{2,}[^\W\d_?]")
+_QUESTIONED = re.compile(r"[^\W\d_]\?[^\W\d_]|\?{3,}|(?:^|\s)\?{1,2}[^\W\d_]|\s\?[,;:]|[^\W\d_]\?{2,}[^\W\d_?]")
 
 
 @lru_cache(maxsize=2)
@@ -333,6 +343,7 @@ def repaired_records(sentence_data: DataFrame, samples: tuple[str, ...]) -> Data
     ``text`` and ``lemmas`` are turned back as far as possible; the states are null where nothing is garbled.
     """
 
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fix = repairer(samples).repair
         seen: dict[str, tuple] = {}
@@ -367,3 +378,22 @@ def garbled_records(sentence_data: DataFrame, lang_sample: DataFrame) -> DataFra
     rows = repaired_records(sentence_data, sample_sentences(lang_sample)).select("rec_id", "text_state", "lemma_state")
     places = F.expr("inline(array(struct('text' AS place, text_state AS state), struct('lemma' AS place, lemma_state AS state)))")
     return rows.where("text_state IS NOT NULL OR lemma_state IS NOT NULL").select("rec_id", places).where("state IS NOT NULL").distinct()
+
+
+def repaired_texts(rows: DataFrame, samples: tuple[str, ...]) -> DataFrame:
+    """``rows`` (with ``text``) plus ``fixed``, ``state`` and ``places``: the place in ``text`` of every character of ``fixed``.
+
+    ``places`` is null where nothing changed. Clashing columns of ``rows`` are replaced.
+    """
+    from pyspark.sql import types as T
+
+    rows = rows.drop("fixed", "state", "places")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fix = repairer(samples).repair_mapped
+        for batch in batches:
+            out = [fix(t) for t in batch["text"]]
+            yield batch.assign(fixed=[o[0] for o in out], state=[o[1] for o in out], places=pd.Series([o[2] for o in out], index=batch.index, dtype=object))
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("fixed", T.StringType()), T.StructField("state", T.StringType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
+    return rows.mapInPandas(run, schema)
