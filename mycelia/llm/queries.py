@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mycelia.llm import encoding, frequency, sentences, tokenizer
+from mycelia.llm import encoding, frequency, residue, sentences, tokenizer
 from mycelia.plans.tables import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "p6_repaired": lambda spark, d: encoding.repaired_records(table(spark, d, "sentence_data"), encoding.sample_sentences(table(spark, d, "lang_sample"))).distinct(),
     "p7_found": lambda spark, d: frequency.marked_items(table(spark, d, "sentence_data"), table(spark, d, "graph_edge")),
     "p8_ids": lambda spark, d: tokenizer.encode_column(table(spark, d, "documents")),
+    "p10_found": lambda spark, d: residue.residue_documents(table(spark, d, "documents")),
 }
 
 SQL = {
