@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from mycelia.llm import encoding, frequency, residue, sentences, tokenizer
+from mycelia.llm import encoding, frequency, language, residue, sentences, tokenizer
 from mycelia.plans.tables import table
 
 QUERIES = {
     "p2_found": lambda spark, d: sentences.sentence_starts(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")),
+    "p4_found": lambda spark, d: language.language_report(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")).drop("confidence"),
+    "p4_segments": lambda spark, d: language.language_report(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")),
     "p6_found": lambda spark, d: encoding.garbled_records(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")),
     "p6_repaired": lambda spark, d: encoding.repaired_records(table(spark, d, "sentence_data"), encoding.sample_sentences(table(spark, d, "lang_sample"))).distinct(),
     "p7_found": lambda spark, d: frequency.marked_items(table(spark, d, "sentence_data"), table(spark, d, "graph_edge")),
