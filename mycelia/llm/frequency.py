@@ -63,7 +63,7 @@ def heavy_items(lists: DataFrame) -> list[str]:
                 counters = {k: v - ranked for k, v in counters.items() if v > ranked}
         yield pa.RecordBatch.from_arrays([pa.array(list(counters), pa.string()), pa.array(list(counters.values()), pa.int64())], names=["item", "n"])
 
-    rows = lists.mapInArrow(summarise, "item string, n bigint").groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "item").limit(HEAVY)
+    rows = lists.mapInArrow(summarise, "item string, n bigint").groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "item").limit(HEAVY).repartition(1)
     return [r.item for r in rows.collect()]
 
 
