@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from mycelia.llm import encoding, frequency, language, residue, scans, sentences, tokenizer
+from mycelia.llm import encoding, frequency, language, mainbody, residue, scans, sentences, tokenizer
 from mycelia.plans.tables import table
 
 QUERIES = {
+    "p1_found": lambda spark, d: mainbody.lines_outside(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")),
+    "p1_main_text": lambda spark, d: mainbody.main_texts(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")),
     "p2_found": lambda spark, d: sentences.sentence_starts(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")),
     "p4_found": lambda spark, d: language.language_report(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")).drop("confidence"),
     "p4_segments": lambda spark, d: language.language_report(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")),
