@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mycelia.llm import encoding, frequency, language, mainbody, residue, scans, sentences, tokenizer
+from mycelia.llm import encoding, frequency, language, mainbody, packing, residue, scans, sentences, tokenizer
 from mycelia.plans.tables import table
 
 QUERIES = {
@@ -16,6 +16,8 @@ QUERIES = {
     "p6_repaired": lambda spark, d: encoding.repaired_records(table(spark, d, "sentence_data"), encoding.sample_sentences(table(spark, d, "lang_sample"))).distinct(),
     "p7_found": lambda spark, d: frequency.marked_items(table(spark, d, "sentence_data"), table(spark, d, "graph_edge")),
     "p8_ids": lambda spark, d: tokenizer.encode_column(table(spark, d, "documents")),
+    "p9_windows": lambda spark, d: packing.packed_windows(table(spark, d, "documents"), table(spark, d, "prompt_window")),
+    "p9_fill": lambda spark, d: packing.window_fill(packing.packed_windows(table(spark, d, "documents"), table(spark, d, "prompt_window"))),
     "p10_found": lambda spark, d: residue.residue_documents(table(spark, d, "documents")),
 }
 
