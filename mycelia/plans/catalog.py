@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from mycelia.plans import hub_queries
+from mycelia.plans import graph_queries, hub_queries
 
-QUERIES = {**hub_queries.QUERIES}
-SQL = {**hub_queries.SQL}
-FLAGSHIP = "p3_found"
+_PARTS = (hub_queries, graph_queries)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
+FLAGSHIP = "render_answer"
