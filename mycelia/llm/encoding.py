@@ -148,11 +148,12 @@ class Repairer:
             return []
         found: list[tuple[int, int, str]] = []
         for page, own in spans.items():
+            long = any(n > 1 for _, _, n in own)
             for a, b, n in own:
                 if n > 1 or self._alone(text, a, b):
                     raw = to_bytes(text[a:b], page)
                     fixed = raw.decode("utf-8")
-                    foreign = n == 1 and page == "mac_roman" and ord(fixed[0]) >= 0x250 and not 0x2000 <= ord(fixed[0]) < 0x2300
+                    foreign = n == 1 and not long and b - a == 2 and page == "mac_roman" and ord(fixed[0]) >= 0x250 and not 0x2000 <= ord(fixed[0]) < 0x2300
                     if not foreign and all(map(_plausible, fixed)):
                         found.append((a, b, fixed))
         # the longest reading first; overlapping readings by other code pages give way
@@ -180,7 +181,8 @@ class Repairer:
     def _alone(text: str, a: int, b: int) -> bool:
         """Whether one garbled character by itself is evidence: no pair of ordinary letters inside a word is."""
         seq = text[a:b]
-        if all(c.isalpha() for c in seq):
+        beside = text[max(0, a - 1) : a] + text[b : b + 1]
+        if all(c.isalpha() for c in seq) and not _ASCII_LETTER.search(beside):
             if seq[0].isupper() and seq[-1].islower() and all("Ѐ" <= c <= "ӿ" for c in seq):
                 return not (b < len(text) and text[b].isalpha())  # a capital that begins an ordinary word
             if seq.isupper() and all("Ѐ" <= c <= "ӿ" for c in seq):

@@ -45,7 +45,7 @@ SCRIPTS = (
     ("Thai", re.compile(r"[฀-๿]")),
 )
 _CUT = re.compile(r"(?<=[.!?…।])[)\]”\"“»’]*\s+(?=[^\sa-zà-ÿа-яіїє—–])|\n+|(?<=[。！？])[”」』）]*|(?<=[฀-๿])\s+(?=[^\s\d฀-๿])|(?<=[^\s\d฀-๿])\s+(?=[฀-๿])")
-_URLISH = re.compile(r"\S*(?:://|@|\.(?:txt|html?|pdf|invalid|com|org))\S*|[a-z]+-[a-z]+(?=[\s.·]|$)|\b\w*\d\w*\b")
+_URLISH = re.compile(r"\S*(?:://|@|\.(?:txt|html?|pdf|invalid|com|org))\S*|[a-z]+-[a-z]+(?=[\s.·]|$)|[A-Za-z]*\d[A-Za-z\d]*")
 _KANA = re.compile(r"[぀-ヿ]")
 #: Letters of one of two languages only, used where encodings tie. Fixed values.
 _UK, _RU = re.compile("[іїєґІЇЄҐ]"), re.compile("[ыэёъЫЭЁЪ]")
@@ -96,6 +96,8 @@ class Classifier:
                 kana = len(_KANA.findall(clean))
                 if "ja" in sizes and (kana >= 2 or kana and letters < 4):
                     sizes = {"ja": 0}
+                elif "zh" in sizes and not kana and letters >= 4:
+                    sizes = {"zh": 0}
             pieces.append((sizes, letters, *self._own(sizes, letters, clean)))
         if not pieces:
             return [], []
