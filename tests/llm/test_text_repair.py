@@ -159,7 +159,7 @@ def test_residue(spark):
         docs.append((i, f"Welcome to {{{{{a}}}}}, a lesson by {{{{{b}}}}}. The {nouns[i % 8]} grows slowly."))
     for i in range(84, 100):
         docs.append((i, ["Access denied. Code {}.", "Please activate scripts to continue. {}", "Access denied.\nPlease try again later. {}", "Loading scripts {}\nPlease activate scripts to continue."][i % 4].format(i)))
-    docs += [(100 + i, f"The template language marks a slot as {{{{title}}}} and fills it. The {nouns[i % 8]} of the {nouns[(i + 1) % 8]} grows.") for i in range(6)]
+    docs += [(100 + i, f"The template language marks a slot as {{{{title}}}} and fills it. " + docs[i][1]) for i in range(6)]
     docs += [(200, None), (201, ""), (202, " \n"), (203, "Please activate scripts to continue.\n" + docs[5][1]), (204, docs[84][1]), (205, "{{" * 500 + "x" * 100_000)]
     rows = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id bigint, text string, n int")
     got = {r.doc_id for r in residue.residue_documents(rows).collect()}
