@@ -9,13 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A file of more records is taken in stretches of about so many, each like a file of its own.
+STRETCH = 5000
+
+
 def file_rows(sentence_data: DataFrame, suffix: str) -> DataFrame:
-    """``rec_id, file_path, source, text`` of the records whose path ends in ``suffix`` (any case), sorted by file within partitions.
+    """``rec_id, file_path, stretch, source, text`` of the records whose path ends in ``suffix`` (any case), sorted by file within partitions.
 
-    Records without a key are left out; repeated ones stand beside each other and are dropped while reading.
+    Records without a key are left out; repeated ones stand beside each other and are dropped while reading. A file that holds a
+    large share of all rows is dealt out by ranges of ``rec_id``, so no task gets it whole.
     """
     rows = sentence_data.where(F.col("rec_id").isNotNull() & F.lower("file_path").endswith(suffix)).select("rec_id", "file_path", "source", "text")
-    return rows.repartition("file_path").sortWithinPartitions("file_path", "rec_id")
+    sizes = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.min("rec_id").alias("low"), F.max("rec_id").alias("high")).where(F.col("n") > STRETCH)
+    span = F.greatest(F.lit(1), ((F.col("high") - F.col("low") + 1) * STRETCH / F.col("n")).cast("long"))
+    stretch = F.coalesce(F.floor((F.col("rec_id") - F.col("low")) / span), F.lit(0)).alias("stretch")
+    dealt = rows.join(sizes, "file_path", "left").select("rec_id", "file_path", stretch, "source", "text")
+    return dealt.repartition("file_path", "stretch").sortWithinPartitions("file_path", "stretch", "rec_id")
 
 
 def by_file(per_file: Callable[[list[tuple]], list[tuple]], columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -25,11 +34,12 @@ def by_file(per_file: Callable[[list[tuple]], list[tuple]], columns: list[str])
         path, records, last = None, [], None
         for batch in batches:
             out: list[tuple] = []
-            for rec_id, p, source, text in zip(batch["rec_id"], batch["file_path"], batch["source"], batch["text"], strict=True):
-                if p != path:
+            keys = zip(batch["file_path"], batch["stretch"], strict=True)
+            for rec_id, key, source, text in zip(batch["rec_id"], keys, batch["source"], batch["text"], strict=True):
+                if key != path:
                     if records:
                         out += per_file(records)
-                    path, records, last = p, [], None
+                    path, records, last = key, [], None
                 if rec_id != last:
                     records.append((rec_id, source, text))
                     last = rec_id

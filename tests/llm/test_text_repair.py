@@ -165,3 +165,15 @@ def test_residue(spark):
     got = {r.doc_id for r in residue.residue_documents(rows).collect()}
     assert got == {*range(60, 100), 204}
     assert residue.residue_documents(rows.limit(0)).count() == 0
+
+
+def test_a_file_with_most_records_is_dealt_out(spark, monkeypatch):
+    from mycelia.llm import pages
+
+    rows = [(i, "big.html", "en", f"line {i}", None) for i in range(400)] + [(1000 + i, f"p{i % 7}.html", "en", "x", None) for i in range(30)]
+    table = records(spark, rows + rows[:5])
+    each = pages.by_file(lambda recs: [(len(recs), min(r[0] for r in recs))], ["n", "first"])
+    assert sorted(r.n for r in pages.file_rows(table, ".html").mapInPandas(each, "n int, first bigint").collect()) == [4, 4, 4, 4, 4, 5, 5, 400]
+    monkeypatch.setattr(pages, "STRETCH", 100)
+    got = pages.file_rows(table, ".html").mapInPandas(each, "n int, first bigint").collect()
+    assert sum(r.n for r in got) == 430 and max(r.n for r in got) <= 101
