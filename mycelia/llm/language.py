@@ -44,7 +44,7 @@ SCRIPTS = (
     ("Devanagari", re.compile(r"[ऀ-ॿ]")),
     ("Thai", re.compile(r"[฀-๿]")),
 )
-_CUT = re.compile(r"(?<=[.!?…।])[)\]”\"“»’]*\s+(?=[^\sa-zà-ÿа-яіїє—–])|\n+|(?<=[。！？])[”」』）]*|(?<=[฀-๿])\s+(?=[^\s\d฀-๿])|(?<=[^\s\d฀-๿])\s+(?=[฀-๿])")
+_CUT = re.compile(r"(?<=[.!?…।])[)\]”\"“»’]*\s+(?=[^\s\da-zà-ÿа-яіїє—–])|\n+|(?<=[。！？])[”」』）]*|(?<=[฀-๿])\s+(?=[^\s\d฀-๿])|(?<=[^\s\d฀-๿])\s+(?=[฀-๿])")
 _URLISH = re.compile(r"\S*(?:://|@|\.(?:txt|html?|pdf|invalid|com|org))\S*|[a-z]+-[a-z]+(?=[\s.·]|$)|[A-Za-z]*\d[A-Za-z\d]*")
 _KANA = re.compile(r"[぀-ヿ]")
 #: Letters of one of two languages only, used where encodings tie. Fixed values.
@@ -85,7 +85,7 @@ class Classifier:
             script = script_of(part)
             if script is None:
                 continue
-            clean = " ".join(_URLISH.sub(" ", part).split())
+            clean = " ".join(_once(_URLISH.sub(" ", part)))
             letters = sum(map(str.isalpha, clean))
             if not letters:
                 continue
@@ -111,7 +111,7 @@ class Classifier:
             if own != main and main in sizes and not (own and letters >= FAR_LETTERS and sizes[main] - sizes[own] >= FAR_BYTES and margin >= FAR_SHARE):
                 # only a wide margin breaks with the rest of the record; else the nearer of it and the sentence before
                 before = langs[-1][0] if langs and langs[-1][0] in sizes else main
-                own = min((main, before), key=lambda k: sizes[k])
+                own = min((before, main), key=lambda k: sizes[k])
             elif main not in sizes and (own is None or letters < (4 if own in DENSE else 12)):
                 continue  # a name or formula in another script
             langs.append((own, margin, letters))
@@ -150,6 +150,18 @@ class Classifier:
         return None, margin
 
 
+def _once(text: str) -> list[str]:
+    """The words of a text without those that are repeated: a word said ten times is no more of a language than said once."""
+    seen: set[str] = set()
+    out = []
+    for w in text.split():
+        key = w.strip(".,;:!?").lower()
+        if key not in seen:
+            seen.add(key)
+            out.append(w)
+    return out
+
+
 def script_of(text: str) -> str | None:
     """The script of most letters; scripts without spaces weigh more, as their letters say more."""
     if text.isascii():
