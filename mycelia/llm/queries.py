@@ -12,6 +12,7 @@ QUERIES = {
     "p4_found": lambda spark, d: language.language_report(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")).drop("confidence"),
     "p4_segments": lambda spark, d: language.language_report(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")),
     "p5_found": lambda spark, d: scans.lines_to_repair(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")),
+    "p5_paragraphs": lambda spark, d: scans.paragraphs(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")),
     "p6_found": lambda spark, d: encoding.garbled_records(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")),
     "p6_repaired": lambda spark, d: encoding.repaired_records(table(spark, d, "sentence_data"), encoding.sample_sentences(table(spark, d, "lang_sample"))).distinct(),
     "p7_found": lambda spark, d: frequency.marked_items(table(spark, d, "sentence_data"), table(spark, d, "graph_edge")),

@@ -127,6 +127,8 @@ def test_scans(spark):
     rows += [(10 + i, "t.txt", "en", body + "A well-known theorem and a well-known particle.", None) for i in range(12)]
     got = {tuple(r) for r in scans.lines_to_repair(records(spark, rows + rows[:1]), sample_table(spark)).collect()}
     assert got == {(1, 0, "furniture"), (1, 5, "furniture"), (1, 1, "break"), (1, 1, "chars"), (2, 0, "furniture"), (2, 1, "chars"), (2, 2, "furniture"), (2, 4, "furniture")}
+    texts = [r.text for r in scans.paragraphs(records(spark, rows + rows[:1]), sample_table(spark)).orderBy("par_no").collect()]
+    assert texts == ["The theorem grows with the particle and the well-known pendulum (CO2, x1, 3D). 1954. The matrix stays."]
     assert scans.lines_to_repair(records(spark, rows).limit(0), sample_table(spark)).count() == 0
 
 
@@ -177,3 +179,10 @@ def test_a_file_with_most_records_is_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(pages, "STRETCH", 100)
     got = pages.file_rows(table, ".html").mapInPandas(each, "n int, first bigint").collect()
     assert sum(r.n for r in got) == 430 and max(r.n for r in got) <= 101
+
+
+def test_assembling():
+    lines = [("Kопия", False, False, {}), ("", False, False, {}), ("One exa-", False, True, {}), ("- 5 -", True, False, {}), ("mple of thc", False, False, {"thc": "the"}), ("well-", False, False, {}), ("known", False, False, {}), ("", False, False, {}), ("", False, False, {})]
+    assert scans.assemble(lines) == ["Kопия", "One example of the well-known"]
+    assert scans.assemble([("It ends.", False, False, {}), ("2.1 Mass", False, False, {}), ("It be-", False, True, {}), ("gins.", False, False, {})]) == ["It ends.", "2.1 Mass", "It begins."]
+    assert scans.straightened("на3ывали") == "называли" and scans.straightened("bound@ry") == "boundary" and scans.assemble([]) == []
