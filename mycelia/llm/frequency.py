@@ -120,10 +120,15 @@ def counter_frequencies(graph_edge: DataFrame) -> DataFrame:
     return marked(item_counts(rows, heavy), _total(rows))
 
 
-def marked_items(sentence_data: DataFrame, graph_edge: DataFrame) -> DataFrame:
-    """``subject, item, mark`` of every item too rare or too common."""
+def all_counts(sentence_data: DataFrame, graph_edge: DataFrame) -> DataFrame:
+    """``subject, item, occurrences, records, mark`` of every lemma and every counter; the mark is null where it is useful."""
     parts = [
-        f.where("mark IS NOT NULL").select(F.lit(subject).alias("subject"), "item", "mark")
+        f.select(F.lit(subject).alias("subject"), "item", "occurrences", "records", "mark")
         for subject, f in (("lemma", lemma_frequencies(sentence_data)), ("repetition_counter", counter_frequencies(graph_edge)))
     ]
     return parts[0].unionAll(parts[1])
+
+
+def marked_items(sentence_data: DataFrame, graph_edge: DataFrame) -> DataFrame:
+    """``subject, item, mark`` of every item too rare or too common."""
+    return all_counts(sentence_data, graph_edge).where("mark IS NOT NULL").select("subject", "item", "mark")

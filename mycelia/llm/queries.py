@@ -16,6 +16,7 @@ QUERIES = {
     "p6_found": lambda spark, d: encoding.garbled_records(table(spark, d, "sentence_data"), table(spark, d, "lang_sample")),
     "p6_repaired": lambda spark, d: encoding.repaired_records(table(spark, d, "sentence_data"), encoding.sample_sentences(table(spark, d, "lang_sample"))).distinct(),
     "p7_found": lambda spark, d: frequency.marked_items(table(spark, d, "sentence_data"), table(spark, d, "graph_edge")),
+    "p7_counts": lambda spark, d: frequency.all_counts(table(spark, d, "sentence_data"), table(spark, d, "graph_edge")),
     "p8_ids": lambda spark, d: tokenizer.encode_column(table(spark, d, "documents")),
     "p9_windows": lambda spark, d: packing.packed_windows(table(spark, d, "documents"), table(spark, d, "prompt_window")),
     "p9_fill": lambda spark, d: packing.window_fill(packing.packed_windows(table(spark, d, "documents"), table(spark, d, "prompt_window"))),
@@ -23,6 +24,14 @@ QUERIES = {
 }
 
 SQL = {
+    "p7_counts": """
+WITH r AS (SELECT rec_id, first(list_transform(tokens, lambda t: t.lemma)) AS items FROM sentence_data WHERE len(tokens) > 0 AND rec_id IS NOT NULL GROUP BY 1),
+l AS (SELECT rec_id, unnest(items) AS item FROM r),
+e AS (SELECT DISTINCT edge_id, repetition_counter FROM graph_edge WHERE repetition_counter IS NOT NULL AND edge_id IS NOT NULL),
+c AS (SELECT 'lemma' AS subject, item, count(*) AS occurrences, count(DISTINCT rec_id) AS records, (SELECT count(*) FROM r) AS total FROM l WHERE item IS NOT NULL GROUP BY 2
+ UNION ALL SELECT 'repetition_counter', repetition_counter::VARCHAR, count(*), count(*), (SELECT count(*) FROM e) FROM e GROUP BY 2)
+SELECT subject, item, occurrences, records, CASE WHEN records < 3 THEN 'rare' WHEN records > total * 0.05::DOUBLE THEN 'common' END AS mark FROM c
+""",
     "p7_found": """
 WITH r AS (SELECT DISTINCT rec_id, list_transform(tokens, lambda t: t.lemma) AS items FROM sentence_data WHERE len(tokens) > 0 AND rec_id IS NOT NULL),
 l AS (SELECT rec_id, unnest(items) AS item FROM r),
