@@ -87,6 +87,7 @@ class Repairer:
         import ahocorasick
 
         self.multi = ahocorasick.Automaton()
+        self.pages = {page: (char_to_byte(page), frozenset(byte_to_char(page)[0x80:0xC0])) for page in WRONG_FOR_UTF8}
         prefixes: dict[str, list[str]] = {}
         for page in WRONG_FOR_UTF8:
             to = byte_to_char(page)
@@ -164,16 +165,16 @@ class Repairer:
                 taken.append((a, b, fixed))
         return sorted(taken)
 
-    @staticmethod
-    def _length(text: str, start: int, page: str) -> int:
-        lead = char_to_byte(page).get(text[start], 0)
+    def _length(self, text: str, start: int, page: str) -> int:
+        table, follow = self.pages[page]
+        lead = table.get(text[start], 0)
         n = 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-        raw = to_bytes(text[start : start + n], page)
-        if raw is None or len(raw) < n:
+        chars = text[start : start + n]
+        if len(chars) < n or not all(c in follow for c in chars[2:]):
             return 0
         try:
-            raw.decode("utf-8")
-        except UnicodeDecodeError:
+            bytes(map(table.__getitem__, chars)).decode("utf-8")
+        except (KeyError, UnicodeDecodeError):
             return 0
         return n
 

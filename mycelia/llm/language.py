@@ -29,7 +29,7 @@ from mycelia.session import cut_lineage
 
 #: Most characters of recurring lines in a language's dictionary.
 DICTIONARY_CHARS = 40_000
-LEVEL = 6
+LEVEL = 3
 #: A margin is wide from so many bytes and this share of the smallest size.
 WIDE_BYTES, WIDE_SHARE = 3, 0.05
 #: The margin from which a sentence differs from the other sentences of its script in the record.
@@ -46,6 +46,7 @@ SCRIPTS = (
 )
 _CUT = re.compile(r"(?<=[.!?…।])[)\]”\"“»’]*\s+(?=[^\s\da-zà-ÿа-яіїє—–])|\n+|(?<=[。！？])[”」』）]*|(?<=[฀-๿])\s+(?=[^\s\d฀-๿])|(?<=[^\s\d฀-๿])\s+(?=[฀-๿])")
 _URLISH = re.compile(r"\S*(?:://|@|\.(?:txt|html?|pdf|invalid|com|org))\S*|[a-z]+-[a-z]+(?=[\s.·]|$)|[A-Za-z]*\d[A-Za-z\d]*")
+_ODD_WORD = re.compile(r"[\d@:.-]")
 _KANA = re.compile(r"[぀-ヿ]")
 #: Letters of one of two languages only, used where encodings tie. Fixed values.
 _UK, _RU = re.compile("[іїєґІЇЄҐ]"), re.compile("[ыэёъЫЭЁЪ]")
@@ -85,7 +86,7 @@ class Classifier:
             script = script_of(part)
             if script is None:
                 continue
-            clean = " ".join(_once(_URLISH.sub(" ", part)))
+            clean = " ".join(_once(_URLISH.sub(" ", part) if _ODD_WORD.search(part) else part))
             letters = sum(map(str.isalpha, clean))
             if not letters:
                 continue
@@ -152,9 +153,12 @@ class Classifier:
 
 def _once(text: str) -> list[str]:
     """The words of a text without those that are repeated: a word said ten times is no more of a language than said once."""
+    words = text.split()
+    if len({*words}) == len(words):
+        return words
     seen: set[str] = set()
     out = []
-    for w in text.split():
+    for w in words:
         key = w.strip(".,;:!?").lower()
         if key not in seen:
             seen.add(key)
