@@ -167,12 +167,6 @@ def induced_subgraph(spark, d):
     return _rounded(A.subgraph(A.significant(active), graph.edges).drop("rn", "first_seen"), "conductance", 9)
 
 
-def induced_subgraph_compat(spark, d):
-    active, graph = _spread(spark, d)
-    found = A.subgraph(A.significant_padded(active), graph.edges)
-    return _rounded(A.capped(found, graph.edges.count()).drop("rn", "first_seen"), "conductance", 9)
-
-
 def render_context(spark, d):
     active, graph = _spread(spark, d)
     kept = A.significant(active)
@@ -189,7 +183,7 @@ QUERIES = {
         tokens, blank_text_filter, ingest_status, dep_codes, dep_labels, head_status, child_head_join, sentence_clock, node_vocabulary, edge_upsert,
         graph_stats, out_degree, graph_merge_incremental, stored_edges, edge_weight_share, lemma_lookup, id_lookup, intent_classify, anchor_resolution,
         spread_step_1, spread_3, spread_2_bidirectional, active_nodes, significant_nodes, significant_nodes_compat, top_k_activated, induced_subgraph,
-        induced_subgraph_compat, render_context, render_answer,
+        render_context, render_answer,
     )
 }
 
@@ -294,8 +288,6 @@ SELECT dep_type, coalesce(dep_name, 'UNKNOWN') AS label, count(*) AS n FROM x LE
     "significant_nodes_compat": f"WITH {_PADDED} SELECT query_id, node_id, activation, rn::INT AS rn FROM sp",
     "top_k_activated": f"WITH {_CUT} SELECT query_id, node_id, a AS activation, rn::INT AS rn FROM rk WHERE rn <= 5",
     "induced_subgraph": f"WITH {_CUT}, {_SUB.format(src='sn')} SELECT query_id, from_id, to_id, dep_type, round(conductance, 9) AS conductance FROM sub",
-    "induced_subgraph_compat": f"""WITH {_PADDED}, {_SUB.format(src="sp")}, cp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rn, first_seen) AS k FROM sub)
-SELECT query_id, from_id, to_id, dep_type, round(conductance, 9) AS conductance FROM cp WHERE k <= (SELECT count(*) FROM e)""",
     "render_context": f"WITH {_LINES} SELECT * FROM cx",
     "render_answer": f"""WITH {_LINES} SELECT query_id, query, {_INTENT} AS intent,
  CASE WHEN context IS NULL THEN 'i could not find relevant information.' ELSE
