@@ -1,7 +1,7 @@
 """Language of every record and of every stretch of a mixed one, by compression.
 
 Each language has a raw-content zstandard dictionary: its clean sample sentences and, up to
-``DICTIONARY_CHARS``, the lines that recur under its label over all records. A sentence is encoded
+``DICTIONARY_CHARS``, the lines and sentences that recur under its label over all records. A sentence is encoded
 with the dictionary of every language of its script; the smallest encoding names the language and
 the distance to the second gives the confidence. Where the margin is narrow the sentence takes the
 language of its neighbours; a record whose sentences are all narrow takes its own label if that is among
@@ -47,6 +47,8 @@ SCRIPTS = (
 _CUT = re.compile(r"(?<=[.!?…।])[)\]”\"“»’]*\s+(?=[^\s\da-zà-ÿа-яіїє—–])|\n+|(?<=[。！？])[”」』）]*|(?<=[฀-๿])\s+(?=[^\s\d฀-๿])|(?<=[^\s\d฀-๿])\s+(?=[฀-๿])")
 _URLISH = re.compile(r"\S*(?:://|@|\.(?:txt|html?|pdf|invalid|com|org))\S*|[a-z]+-[a-z]+(?=[\s.·]|$)|[A-Za-z]*\d[A-Za-z\d]*")
 _ODD_WORD = re.compile(r"[\d@:.-]")
+#: Ends of the units counted for the dictionaries: of lines, and of sentences within them. A Java pattern.
+_UNIT_END = r"\n|(?<=[.!?…])\s+(?=\p{Lu})"
 _KANA = re.compile(r"[぀-ヿ]")
 #: Letters of one of two languages only, used where encodings tie. Fixed values.
 _UK, _RU = re.compile("[іїєґІЇЄҐ]"), re.compile("[ыэёъЫЭЁЪ]")
@@ -81,7 +83,7 @@ class Classifier:
 
     def record(self, text: str) -> tuple[list[tuple[str, float]], list[str]]:
         """``(segments, near)``: the language and confidence of each stretch, and, where none is sure, the languages still possible."""
-        pieces = []  # (sizes, letters, own language or null, margin)
+        pieces = []  # (sizes, letters, own language or null, margin, whether wrongly decoded)
         for part in _CUT.split(text):
             script = script_of(part)
             if script is None:
@@ -99,24 +101,32 @@ class Classifier:
                     sizes = {"ja": 0}
                 elif "zh" in sizes and not kana and letters >= 4:
                     sizes = {"zh": 0}
-            pieces.append((sizes, letters, *self._own(sizes, letters, clean)))
+            garbled = script == "Latin" and 2 * sum(map(str.isalpha, filter(str.isascii, clean))) < letters
+            pieces.append((sizes, letters, *self._own(sizes, letters, clean), garbled))
         if not pieces:
             return [], []
         total: dict[str, float] = {}
-        for sizes, letters, _, _ in pieces:  # what each language saves against the worst of its script
+        for sizes, letters, *_ in pieces:  # what each language saves against the worst of its script
             for lang, n in sizes.items():
                 total[lang] = total.get(lang, 0.0) + (max(sizes.values()) - n if len(sizes) > 1 else letters)
         main = max(sorted(total), key=lambda k: total[k])
         langs: list[tuple[str, float, int]] = []
-        for sizes, letters, own, margin in pieces:
+        for sizes, letters, own, margin, garbled in pieces:
             if own != main and main in sizes and not (own and letters >= FAR_LETTERS and sizes[main] - sizes[own] >= FAR_BYTES and margin >= FAR_SHARE):
                 # only a wide margin breaks with the rest of the record; else the nearer of it and the sentence before
                 before = langs[-1][0] if langs and langs[-1][0] in sizes else main
                 own = min((before, main), key=lambda k: sizes[k])
-            elif main not in sizes and (own is None or letters < (4 if own in DENSE else 12)):
-                continue  # a name or formula in another script
+            elif main not in sizes:
+                if letters < (4 if own in DENSE else 12):
+                    continue  # a name or formula in another script
+                if own is None and garbled:
+                    continue
+                if own is None:  # the nearer of the sentence before and what the record's sentences of this script save most in
+                    side = max(sorted(sizes), key=lambda k: total[k])
+                    before = langs[-1][0] if langs and langs[-1][0] in sizes else side
+                    own = min((before, side), key=lambda k: sizes[k])
             langs.append((own, margin, letters))
-        if not any(own for _, _, own, _ in pieces) or not langs:
+        if not any(own for _, _, own, *_ in pieces) or not langs:
             best = min(sum(s.get(main, 0) for s, *_ in pieces), 10**9)
             sums = {k: sum(s.get(k, 10**6) for s, *_ in pieces) for k in {x for s, *_ in pieces for x in s}}
             near = sorted(k for k, v in sums.items() if v <= best + 2 * WIDE_BYTES)
@@ -145,7 +155,6 @@ class Classifier:
             uk, ru = len(_UK.findall(text)), len(_RU.findall(text))
             if (uk > 0) != (ru > 0):
                 return "uk" if uk else "ru", max(margin, 0.05 if m - n < 2 * WIDE_BYTES else FAR_SHARE)
-            return None, margin
         if letters >= 12 and m - n >= WIDE_BYTES and margin >= WIDE_SHARE:
             return best, margin
         return None, margin
@@ -184,11 +193,11 @@ def _classifier(dictionaries: tuple[tuple[str, str], ...]) -> Classifier:
 
 
 def dictionaries(sentence_data: DataFrame, lang_sample: DataFrame) -> tuple[tuple[str, str], ...]:
-    """The dictionary of each sampled language: its clean sentences, then recurring lines that mostly stand under its label."""
+    """The dictionary of each sampled language: its clean sentences, then recurring lines and sentences that mostly stand under its label."""
     samples: dict[str, list[str]] = {}
     for r in lang_sample.where("text IS NOT NULL AND lang IS NOT NULL").orderBy("sample_id").limit(5000).collect():
         samples.setdefault(r.lang, []).append(r.text)
-    lines = sentence_data.where("text IS NOT NULL").select(label_of(F.col("lang")).alias("label"), F.explode(F.split("text", "\n")).alias("line"))
+    lines = sentence_data.where("text IS NOT NULL").select(label_of(F.col("lang")).alias("label"), F.explode(F.split("text", _UNIT_END)).alias("line"))
     lines = lines.where(F.length("line").between(3, 160) & F.col("label").isin(list(samples))).withColumn("line", F.trim(F.regexp_replace("line", "[0-9]+", "#")))
     counts = lines.groupBy("line", "label").agg(F.count(F.lit(1)).alias("n"))
     pure = counts.groupBy("line").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("top")).where("total >= 8 AND top.n >= 0.7 * total")

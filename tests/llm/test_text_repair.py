@@ -120,6 +120,20 @@ def test_languages(spark):
     assert language.language_report(records(spark, rows).limit(0), sample_table(spark)).count() == 0
 
 
+def test_cyrillic_without_deciding_letters(spark):
+    own = {lang: " ".join(t for k, t in CLEAN if k == lang) for lang in dict(CLEAN)}
+    own["ru"] += " Сначала нужно проверить, что теплота постоянна! Если мера случайна, то и частица неизвестна."
+    own["uk"] += " Що станеться, якщо густина зникне? Без поняття маси не можна пояснити силу."
+    c = language.Classifier(own)
+    french = "Quand la sphère devient thermique, l’énergie le devient aussi."
+    assert [x for x, _ in c.record(f"Сначала нужно проверить, что мера конечна! {french}")[0]] == ["ru", "fr"]
+    assert [x for x, _ in c.record(f"Без поняття густини не можна пояснити міру. {french} Что если теплота мала?")[0]][:2] == ["uk", "fr"]
+    assert c._own({"ru": 60, "uk": 40}, 30, "Що станеться, якщо сила зникне")[0] == "uk"
+    # sentences that recur within lines enter the dictionary of the label they stand under
+    rows = [(i, "a.txt", "ru", f"Волна {'абвгдежзик'[i]} мала. Доктор удерживал температуру около {i} единиц. Связь {'абвгдежзик'[i]}.", None) for i in range(10)]
+    assert "Доктор удерживал температуру около # единиц." in dict(language.dictionaries(records(spark, rows), sample_table(spark)))["ru"]
+
+
 def test_scans(spark):
     body = "The matrix grows with the particle and the theorem follows the pendulum again.\n"
     page = "site-a · Five facts about waves\nThe thcorem grows with the parti-\ncle and the well-\nknown pendulum (CO2, x1, 3D).\n1954.\n- 6 -"
