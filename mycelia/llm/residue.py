@@ -4,8 +4,8 @@ Two models are induced from all documents and then applied to each:
 
 * *Slots.* Sentences made from one template align around their slots: the same two words before and
   after, another filler in between. A delimited name is a variable if it fills such varying
-  places in two or more of them. Places where one and the same filler always stands are
-  explanations or notation and are exempt. A document that keeps a variable elsewhere is residue.
+  places in two or more of them. Notation, quoted slots and slots in a sentence about templates are explained
+  and exempt, however often they occur; no number of equal unfilled slots exempts a place.
 * *Whole-page templates.* Error pages, script requests and filler are poor documents: few distinct words,
   repeated over many pages, absent from rich documents. Every word is weighed by how much more often it
   occurs in poor than in rich documents. A document is residue if it has sentences of such
@@ -40,6 +40,17 @@ SLOT = re.compile(
     rf"\{{\{{\s*(?:\w+\.)*({_NAME})\s*(?:\|[^{{}}\n]{{0,40}})?\}}\}}|\$\{{({_NAME})\}}|\{{({_NAME})\}}|<%=?\s*({_NAME})\s*%>|<({_NAME})>|\[\[({_NAME})\]\]|\[({_NAME})\]"
     rf"|__({_NAME}?)__|%({_NAME})%|#({_NAME})#|\$({_NAME})\$|«({_NAME})»"
 )
+#: Groups of SLOT whose delimiters prose has no use for, and the tags that pages may show as text. Fixed values.
+_CLEAR = frozenset((1, 2, 3, 4, 5, 6, 9))
+_TAGS = frozenset("html head body title meta link script style div span p a b i u em strong br hr h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody img pre code sub sup form input button label select option section article header footer nav main aside figure blockquote iframe svg canvas video audio source small cite mark kbd".split())
+#: Words of sentences that speak of slots, and signs that quote one. Fixed values.
+_ABOUT = re.compile(
+    r"\b(?:template (?:language|engine|syntax)|templating|slots?|placeholders?|shell|latex|environment variable|platzhalter\w*|vorlagensprache|umgebungsvariable\w*"
+    r"|espaces? réservés?|langage de gabarit|variable d.environnement|marcador(?:es)? de posición|variable de entorno|шаблон\w*|заполнител\w*|заповнювач\w*)\b"
+    r"|模板|占位符|テンプレート|プレースホルダ|टेम्पलेट|प्लेसहोल्डर|แม่แบบ|ตัวยึดตำแหน่ง",
+    re.I,
+)
+_QUOTES = {"`": "`", '"': '"', "'": "'", "“": "”", "„": "“", "‘": "’", "「": "」"}
 _WORD = re.compile(r"\b[^\W\d_]+\b")
 _DENSE = re.compile(r"[ऀ-෿฀-໿぀-ヿ一-鿿]{2,}")
 _UNIT = re.compile(r"\n+|(?<=[.!?…।。！？])[ \t ]+|(?<=[。！？])(?=\S)")
@@ -56,19 +67,32 @@ def words_of(text: str) -> list[str]:
     return out
 
 
-def slots_of(text: str) -> list[tuple[str, str]]:
-    """``(place, name)`` of every delimited name: the place is the two words before and after."""
+def slots_of(text: str) -> list[tuple[str, str, bool]]:
+    """``(place, name, clear)`` of every delimited name that is not explained: the place is the two words before and after."""
     if not any(c in text for c in "{<[_%#$«"):
         return []
     found = []
     for m in SLOT.finditer(text):
-        name = next(g for g in m.groups() if g is not None)
+        name = m.group(m.lastindex).lower()
+        if explained(text, m, name):
+            continue
         before = _shape(text[max(0, m.start() - 80) : m.start()]).split()[-2:]
         after = _shape(text[m.end() : m.end() + 80]).split()[:2]
-        found.append((" ".join([*(["^", "^"] + before)[-2:], "_", *(after + ["$", "$"])[:2]]), name.lower()))
+        clear = m.lastindex in _CLEAR and not (m.lastindex == 5 and name in _TAGS)
+        found.append((" ".join([*(["^", "^"] + before)[-2:], "_", *(after + ["$", "$"])[:2]]), name, clear))
     return found
 
 
+def explained(text: str, m: re.Match, name: str) -> bool:
+    """Whether a slot is notation (one cased letter, or glued to a command), quoted, or in a sentence about slots."""
+    if len(name) == 1 and name.upper() != name or re.search(r"\\\w*$", text[max(0, m.start() - 20) : m.start()]):
+        return True
+    if m.start() and text[m.end() : m.end() + 1] == _QUOTES.get(text[m.start() - 1]):
+        return True
+    before = _UNIT.split(text[max(0, m.start() - 200) : m.start()])[-1]
+    return bool(_ABOUT.search(f"{before} {_UNIT.split(text[m.end() : m.end() + 200])[0]}"))
+
+
 def _shape(text: str) -> str:
     return re.sub(r"[^\w?]+", " ", SLOT.sub(" ? ", text)).lower()
 
@@ -76,7 +100,8 @@ def _shape(text: str) -> str:
 def evidence(documents: DataFrame) -> DataFrame:
     """``kind, item, place, poor, rich``: summed over distinct texts, pre-aggregated per batch.
 
-    ``w``: a word with the numbers of poor and rich documents that hold it; ``s``: a slot's name and place.
+    ``w``: a word with the numbers of poor and rich documents that hold it; ``s``: a slot's name and place,
+    with the texts that have it in clear delimiters (``poor``) and in shared ones (``rich``).
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,7 +118,7 @@ def evidence(documents: DataFrame) -> DataFrame:
                     poor.update(distinct)
                 slots.update(set(slots_of(text)))
             w = [(k, v, rich.get(k, 0)) for k, v in poor.items()] + [(k, 0, v) for k, v in rich.items() if k not in poor]
-            rows = [("w", k, "", p, r) for k, p, r in w] + [("s", name, place, n, 0) for (place, name), n in slots.items()]
+            rows = [("w", k, "", p, r) for k, p, r in w] + [("s", name, place, n if clear else 0, 0 if clear else n) for (place, name, clear), n in slots.items()]
             yield pd.DataFrame(rows, columns=["kind", "item", "place", "poor", "rich"])
 
     texts = documents.where("text IS NOT NULL AND text RLIKE '\\\\S'").select("text").withColumn("h", F.xxhash64("text")).withColumn("n", F.length("text"))
@@ -103,7 +128,7 @@ def evidence(documents: DataFrame) -> DataFrame:
 
 
 def models(documents: DataFrame) -> dict:
-    """``words``: weights of the words of poor pages; ``names``: variables; ``exempt``: places of constant fillers."""
+    """``words``: weights of the words of poor pages; ``names``: variables."""
     from mycelia.session import cut_lineage
 
     seen = cut_lineage(evidence(documents).where("poor > 1 OR kind = 's'"))
@@ -115,25 +140,21 @@ def models(documents: DataFrame) -> dict:
     heavy = words.where("item <> ''").select("item", known.alias("known"), weight.alias("weight")).where("known >= 3").orderBy(F.desc("known"), "item").limit(MODEL_ROWS).repartition(1)
 
     slots = seen.where("kind = 's'")
-    places = slots.groupBy("place").agg(F.count(F.lit(1)).alias("names"), F.sum("poor").alias("n"))
-    varying = slots.join(places.where("names >= 2"), "place", "left_semi")
-    names = varying.groupBy("item").agg(F.count(F.lit(1)).alias("places")).where("places >= 2").orderBy(F.desc("places"), "item").limit(MODEL_ROWS).repartition(1)
-    exempt = places.where("names = 1 AND n >= 3").orderBy(F.desc("n"), "place").limit(MODEL_ROWS).repartition(1)
-    return {
-        "words": {r.item: r.weight for r in heavy.collect()},
-        "names": frozenset(r.item for r in names.collect()),
-        "exempt": frozenset(r.place for r in exempt.collect()),
-    }
+    varying = slots.join(slots.groupBy("place").agg(F.count_distinct("item").alias("names")).where("names >= 2").select("place"), "place", "left_semi")
+    places = varying.groupBy("item").agg(F.count_distinct("place").alias("places")).where("places >= 2")
+    named = slots.groupBy("item").agg(F.sum("poor").alias("clear"), F.sum("rich").alias("shared")).join(places, "item", "left")
+    names = named.where("places >= 2").orderBy(F.desc("shared"), "item").limit(MODEL_ROWS).repartition(1)
+    return {"words": {r.item: r.weight for r in heavy.collect()}, "names": frozenset(r.item for r in names.collect())}
 
 
 class Judge:
     """Applies the induced models to one text."""
 
     def __init__(self, model: dict):
-        self.words, self.names, self.exempt = model["words"], model["names"], model["exempt"]
+        self.words, self.names = model["words"], model["names"]
 
     def kept_slot(self, text: str) -> bool:
-        return any(name in self.names and place not in self.exempt for place, name in slots_of(text))
+        return any(name in self.names for _, name, _ in slots_of(text))
 
     def score(self, unit: str) -> float | None:
         """Mean weight of a sentence's words, those of content being negative and rare ones nought. Null without a word."""

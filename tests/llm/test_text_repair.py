@@ -183,6 +183,15 @@ def test_residue(spark):
     assert residue.residue_documents(rows.limit(0)).count() == 0
 
 
+def test_slots_left_alike_on_many_pages(spark):
+    docs = [f"Lesson {'abcdefgh'[i]} is ready. Welcome back dear {{{{name}}}} your notes are here." for i in range(6)]  # one place, one name
+    docs += ["Written for {{name}} by {{date}} today.", "Written for {{date}} by {{name}} today."]
+    quoted = ["The template language marks a slot as {{name}} and fills it.", "Write `{{name}}` and it is filled in later.", "In LaTeX one writes \\frac{{a}}{{b}} for it.", "def f(x): return {'node': x, 'edge': [x]}"]
+    rows = spark.createDataFrame(list(enumerate(docs + quoted)), "doc_id bigint, text string")
+    model = residue.models(rows)
+    assert [residue.Judge(model).kept_slot(t) for t in docs + quoted] == [True] * 8 + [False] * 4
+
+
 def test_a_file_with_most_records_is_dealt_out(spark, monkeypatch):
     from mycelia.llm import pages
 
