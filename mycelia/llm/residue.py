@@ -2,10 +2,11 @@
 
 Two models are induced from all documents and then applied to each:
 
-* *Slots.* Sentences made from one template align around their slots: the same two words before and
-  after, another filler in between. A delimited name is a variable if it fills such varying
-  places in two or more of them. Notation, quoted slots and slots in a sentence about templates are explained
-  and exempt, however often they occur; no number of equal unfilled slots exempts a place.
+* *Slots.* A name in delimiters that prose has no use for is an unfilled slot wherever it stands. Delimiters
+  that prose shares (quotes, brackets, marks of emphasis) hold a variable if the name also stands in the former, or if
+  it fills two or more places that vary: the same two words before and after, another name in between. Notation,
+  quoted slots and slots in a sentence about templates are explained and exempt, however often they occur;
+  no number of equal unfilled slots exempts a place.
 * *Whole-page templates.* Error pages, script requests and filler are poor documents: few distinct words,
   repeated over many pages, absent from rich documents. Every word is weighed by how much more often it
   occurs in poor than in rich documents. A document is residue if it has sentences of such
@@ -128,7 +129,7 @@ def evidence(documents: DataFrame) -> DataFrame:
 
 
 def models(documents: DataFrame) -> dict:
-    """``words``: weights of the words of poor pages; ``names``: variables."""
+    """``words``: weights of the words of poor pages; ``names``: variables among the names in shared delimiters."""
     from mycelia.session import cut_lineage
 
     seen = cut_lineage(evidence(documents).where("poor > 1 OR kind = 's'"))
@@ -142,8 +143,8 @@ def models(documents: DataFrame) -> dict:
     slots = seen.where("kind = 's'")
     varying = slots.join(slots.groupBy("place").agg(F.count_distinct("item").alias("names")).where("names >= 2").select("place"), "place", "left_semi")
     places = varying.groupBy("item").agg(F.count_distinct("place").alias("places")).where("places >= 2")
-    named = slots.groupBy("item").agg(F.sum("poor").alias("clear"), F.sum("rich").alias("shared")).join(places, "item", "left")
-    names = named.where("places >= 2").orderBy(F.desc("shared"), "item").limit(MODEL_ROWS).repartition(1)
+    named = slots.groupBy("item").agg(F.sum("poor").alias("clear"), F.sum("rich").alias("shared")).where("shared > 0").join(places, "item", "left")
+    names = named.where("clear > 0 OR places >= 2").orderBy(F.desc("shared"), "item").limit(MODEL_ROWS).repartition(1)
     return {"words": {r.item: r.weight for r in heavy.collect()}, "names": frozenset(r.item for r in names.collect())}
 
 
@@ -154,7 +155,7 @@ class Judge:
         self.words, self.names = model["words"], model["names"]
 
     def kept_slot(self, text: str) -> bool:
-        return any(name in self.names for _, name, _ in slots_of(text))
+        return any(clear or name in self.names for _, name, clear in slots_of(text))
 
     def score(self, unit: str) -> float | None:
         """Mean weight of a sentence's words, those of content being negative and rare ones nought. Null without a word."""

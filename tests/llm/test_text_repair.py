@@ -192,6 +192,13 @@ def test_slots_left_alike_on_many_pages(spark):
     assert [residue.Judge(model).kept_slot(t) for t in docs + quoted] == [True] * 8 + [False] * 4
 
 
+def test_slots_that_occur_once(spark):
+    docs = ["Without the notion of {имя} it cannot be said.", "Por <tema>, <autor> aquí la red queda.", "Resumen: {{ page.fecha | default }}\n", "By «tema» it is.", "He said «nothing» and <br> left [sic]."]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    judge = residue.Judge(residue.models(rows))
+    assert [judge.kept_slot(t) for t in docs] == [True, True, True, True, False]
+
+
 def test_a_file_with_most_records_is_dealt_out(spark, monkeypatch):
     from mycelia.llm import pages
 
