@@ -127,6 +127,9 @@ class Repairer:
         self.single.make_automaton()
         self.genuine = genuine
         self._turned: dict[str, tuple[str | None, bool]] = {}
+        #: Words that need no turning; results do not depend on what is kept.
+        self._fine: set[str] = set()
+        self._read: dict[str, list[tuple[str | None, float]]] = {}
 
     # -- UTF-8 read as a code page -------------------------------------------------------------
     def _multi_once(self, text: str) -> list[tuple[int, int, str]]:
@@ -196,9 +199,13 @@ class Repairer:
     def _single_once(self, text: str) -> list[tuple[int, int, str]]:
         turned: list[tuple[int, int, str]] = []
         weak: list[tuple[int, int, str]] = []
+        if self._fine.issuperset(_WORD.findall(text)):
+            return turned
         for m in _WORD.finditer(text):
             word = m.group()
             if word.isascii():
+                if len(self._fine) < 400_000:
+                    self._fine.add(word)
                 continue
             seen = self._turned.get(word)
             if seen is None:
@@ -207,6 +214,8 @@ class Repairer:
                 if len(self._turned) < 200_000:
                     self._turned[word] = seen
             fixed, open_ = seen
+            if not fixed and not open_ and len(self._fine) < 400_000:
+                self._fine.add(word)
             if fixed:
                 turned.append((m.start(), m.end(), fixed))
             elif open_:
@@ -221,14 +230,26 @@ class Repairer:
         size = sum(b - a for a, b, _ in weak)
         before = sum(self._known(w) * len(w) for _, _, w in weak) / size
         best: tuple[float, list[tuple[int, int, str]]] = (max(before + 0.25, 0.35), [])
-        for k in range(len(SINGLE)) if size >= 5 else ():
-            fixed = [(a, b, self._turn(w, k)) for a, b, w in weak]
-            if all(f is not None for _, _, f in fixed):
-                score = sum(self._known(f) * len(f) for _, _, f in fixed) / size
+        if size < 5:
+            return []
+        read = [self._readings(w) for _, _, w in weak]
+        for k in range(len(SINGLE)):
+            if all(r[k][0] is not None for r in read):
+                score = sum(r[k][1] for r in read) / size
                 if score > best[0]:
-                    best = (score, fixed)
+                    best = (score, [(a, b, r[k][0]) for (a, b, _), r in zip(weak, read, strict=True)])
         return best[1]
 
+    def _readings(self, word: str) -> list[tuple[str | None, float]]:
+        """``(reading, known letters)`` of a word by every pair, kept for words that come again."""
+        out = self._read.get(word)
+        if out is None:
+            turned = (self._turn(word, k) for k in range(len(SINGLE)))
+            out = [(f, 0.0 if f is None else self._known(f) * len(f)) for f in turned]
+            if len(self._read) < 50_000:
+                self._read[word] = out
+        return out
+
     def _best(self, word: str) -> str | None:
         """The word turned back by the pair that explains it, or null where it needs no turning."""
         own: dict[int, int] = {}
@@ -285,10 +306,14 @@ class Repairer:
         lost = bool(_LOST.search(text))
         at: list[int] | None = None
         if not text.isascii():
-            for once in (self._multi_once, self._multi_once, self._multi_once, self._single_once):
-                spans = once(text)
-                if spans:
-                    text, at = _replace(text, at or list(range(len(text))), spans)
+            for _ in range(3):  # text may be garbled more than once; a pass that finds nothing is the last
+                spans = self._multi_once(text)
+                if not spans:
+                    break
+                text, at = _replace(text, at or list(range(len(text))), spans)
+            spans = self._single_once(text)
+            if spans:
+                text, at = _replace(text, at or list(range(len(text))), spans)
         if not lost and "?" in text:
             lost = self._questioned(text)
         return text, "lost" if lost else "restorable" if at is not None else None, at

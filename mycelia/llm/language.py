@@ -20,7 +20,8 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,29 +30,38 @@ from mycelia.session import cut_lineage
 
 #: Most characters of recurring lines in a language's dictionary.
 DICTIONARY_CHARS = 40_000
-LEVEL = 3
-#: A margin is wide from so many bytes and this share of the smallest size.
+#: Labelled sample sentences that are read at most; more would make dictionaries nobody needs.
+SAMPLE_ROWS = 5_000
+#: Characters of a line or sentence that may enter a dictionary, and the sightings from which its share of one label says something.
+LINE_CHARS, SIGHTINGS, PURE = (3, 160), 8, 0.7
+#: Compression levels: the first for all sentences, the second where the first gives no far margin.
+LEVELS = (3, 6)
+#: Sentences whose judgement a worker keeps; results do not depend on it.
+CACHED_PIECES = 20_000
+#: Fewer letters than this say nothing by themselves.
+FEW_LETTERS = 12
+#: A margin is wide from so many bytes and this share of the second size.
 WIDE_BYTES, WIDE_SHARE = 3, 0.05
-#: The margin from which a sentence differs from the other sentences of its script in the record.
+#: The margin from which a sentence differs from the other sentences of its script in the record, and a short one says anything.
 FAR_LETTERS, FAR_BYTES, FAR_SHARE = 24, 6, 0.15
-#: Languages that say much in few letters.
-DENSE = ("zh", "ja")
+#: A letter of these scripts counts as so many.
+LETTER_WEIGHT = {"Han": 3}
 
 SCRIPTS = (
-    ("Latin", re.compile(r"[A-Za-zÀ-ɏ]")),
-    ("Cyrillic", re.compile(r"[Ѐ-ԯ]")),
-    ("Han", re.compile(r"[぀-ヿ㐀-鿿]")),
-    ("Devanagari", re.compile(r"[ऀ-ॿ]")),
-    ("Thai", re.compile(r"[฀-๿]")),
+    ("Latin", re.compile(r"[A-Za-zÀ-ɏ]+")),
+    ("Cyrillic", re.compile(r"[Ѐ-ԯ]+")),
+    ("Han", re.compile(r"[぀-ヿ㐀-鿿]+")),
+    ("Devanagari", re.compile(r"[ऀ-ॿ]+")),
+    ("Thai", re.compile(r"[฀-๿]+")),
 )
+_ASCII_LETTERS = re.compile(r"[A-Za-z]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _CUT = re.compile(r"(?<=[.!?…।])[)\]”\"“»’]*\s+(?=[^\s\da-zà-ÿа-яіїє—–])|\n+|(?<=[。！？])[”」』）]*|(?<=[฀-๿])\s+(?=[^\s\d฀-๿])|(?<=[^\s\d฀-๿])\s+(?=[฀-๿])")
 _URLISH = re.compile(r"\S*(?:://|@|\.(?:txt|html?|pdf|invalid|com|org))\S*|[a-z]+-[a-z]+(?=[\s.·]|$)|[A-Za-z]*\d[A-Za-z\d]*")
-_ODD_WORD = re.compile(r"[\d@:.-]")
+#: What any match of the pattern above holds: a cheaper test.
+_ODD_WORD = re.compile(r"\d|@|://|\.[thpico]|[a-z]-[a-z]")
 #: Ends of the units counted for the dictionaries: of lines, and of sentences within them. A Java pattern.
 _UNIT_END = r"\n|(?<=[.!?…])\s+(?=\p{Lu})"
-_KANA = re.compile(r"[぀-ヿ]")
-#: Letters of one of two languages only, used where encodings tie. Fixed values.
-_UK, _RU = re.compile("[іїєґІЇЄҐ]"), re.compile("[ыэёъЫЭЁЪ]")
 
 
 def label_of(lang: Column) -> Column:
@@ -68,47 +78,63 @@ class Classifier:
 
         self.by_script: dict[str, list[str]] = {}
         self.encoders = {}
+        self._pieces: dict[str, tuple | None] = {}
         for lang, content in sorted(dictionaries.items()):
-            raw = zstandard.ZstdCompressionDict(content.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=LEVEL)
-            self.encoders[lang] = zstandard.ZstdCompressor(dict_data=raw, write_content_size=False, write_checksum=False)
+            for level in LEVELS:
+                raw = zstandard.ZstdCompressionDict(content.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                raw.precompute_compress(level=level)
+                self.encoders[level, lang] = zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_checksum=False).compress
             self.by_script.setdefault(script_of(content) or "", []).append(lang)
 
     def sizes(self, text: str, script: str) -> dict[str, int]:
+        """The size of a text by the dictionary of every language of its script; thoroughly if the quick encodings are not far apart."""
         langs = self.by_script.get(script, [])
         if len(langs) == 1:
             return {langs[0]: 0}
         raw = text.encode()
-        return {lang: len(self.encoders[lang].compress(raw)) for lang in langs}
+        quick, thorough = LEVELS
+        out = {lang: len(self.encoders[quick, lang](raw)) for lang in langs}
+        best = min(out.values(), default=0)
+        near = [lang for lang in langs if out[lang] - best < max(FAR_BYTES, FAR_SHARE * out[lang])]
+        if len(near) > 1:
+            out |= {lang: len(self.encoders[thorough, lang](raw)) for lang in near}
+        return out
+
+    def piece(self, part: str) -> tuple | None:
+        """``(sizes, letters, own language or null, margin, whether wrongly decoded)`` of a sentence; null without letters of a known script."""
+        found = self._pieces.get(part, 0)
+        if found == 0:
+            if len(self._pieces) >= CACHED_PIECES:
+                self._pieces.clear()
+            found = self._pieces[part] = self._judged(part)
+        return found
+
+    def _judged(self, part: str) -> tuple | None:
+        script = script_of(part)
+        if script is None:
+            return None
+        clean = " ".join(_once(_URLISH.sub(" ", part) if _ODD_WORD.search(part) else part))
+        letters = len("".join(_LETTERS.findall(clean))) * LETTER_WEIGHT.get(script, 1)
+        sizes = self.sizes(clean, script) if letters else None
+        if not sizes:
+            return None
+        garbled = script == "Latin" and 2 * len("".join(_ASCII_LETTERS.findall(clean))) < letters
+        return (sizes, letters, *self._own(sizes, letters), garbled)
 
     def record(self, text: str) -> tuple[list[tuple[str, float]], list[str]]:
         """``(segments, near)``: the language and confidence of each stretch, and, where none is sure, the languages still possible."""
-        pieces = []  # (sizes, letters, own language or null, margin, whether wrongly decoded)
-        for part in _CUT.split(text):
-            script = script_of(part)
-            if script is None:
-                continue
-            clean = " ".join(_once(_URLISH.sub(" ", part) if _ODD_WORD.search(part) else part))
-            letters = sum(map(str.isalpha, clean))
-            if not letters:
-                continue
-            sizes = self.sizes(clean, script)
-            if not sizes:
-                continue
-            if script == "Han" and len(sizes) > 1:  # the shared characters decide nothing, kana do
-                kana = len(_KANA.findall(clean))
-                if "ja" in sizes and (kana >= 2 or kana and letters < 4):
-                    sizes = {"ja": 0}
-                elif "zh" in sizes and not kana and letters >= 4:
-                    sizes = {"zh": 0}
-            garbled = script == "Latin" and 2 * sum(map(str.isalpha, filter(str.isascii, clean))) < letters
-            pieces.append((sizes, letters, *self._own(sizes, letters, clean), garbled))
+        pieces = [p for part in _CUT.split(text) if (p := self.piece(part))]
         if not pieces:
             return [], []
+        first = pieces[0][2]
+        if first and all(p[2] == first for p in pieces):  # the common case
+            letters = sum(p[1] for p in pieces)
+            return [(first, round(sum(p[3] * p[1] for p in pieces) / letters, 4))], []
         total: dict[str, float] = {}
         for sizes, letters, *_ in pieces:  # what each language saves against the worst of its script
+            worst = max(sizes.values()) if len(sizes) > 1 else letters
             for lang, n in sizes.items():
-                total[lang] = total.get(lang, 0.0) + (max(sizes.values()) - n if len(sizes) > 1 else letters)
+                total[lang] = total.get(lang, 0.0) + worst - n
         main = max(sorted(total), key=lambda k: total[k])
         langs: list[tuple[str, float, int]] = []
         for sizes, letters, own, margin, garbled in pieces:
@@ -117,7 +143,7 @@ class Classifier:
                 before = langs[-1][0] if langs and langs[-1][0] in sizes else main
                 own = min((before, main), key=lambda k: sizes[k])
             elif main not in sizes:
-                if letters < (4 if own in DENSE else 12):
+                if letters < FEW_LETTERS:
                     continue  # a name or formula in another script
                 if own is None and garbled:
                     continue
@@ -145,25 +171,21 @@ class Classifier:
         return [(lang, round(m / n, 4)) for lang, m, n in runs], []
 
     @staticmethod
-    def _own(sizes: dict[str, int], letters: int, text: str) -> tuple[str | None, float]:
+    def _own(sizes: dict[str, int], letters: int) -> tuple[str | None, float]:
+        """The language whose encoding is smallest, if the margin is wide, and the margin."""
         if len(sizes) == 1:
             return next(iter(sizes)), 1.0
-        ranked = sorted(sizes.items(), key=lambda x: (x[1], x[0]))
-        (best, n), (other, m) = ranked[:2]
+        n, m = sorted(sizes.values())[:2]
+        best = min(lang for lang, size in sizes.items() if size == n)
         margin = 1 - n / m
-        if {best, other} == {"ru", "uk"}:
-            uk, ru = len(_UK.findall(text)), len(_RU.findall(text))
-            if (uk > 0) != (ru > 0):
-                return "uk" if uk else "ru", max(margin, 0.05 if m - n < 2 * WIDE_BYTES else FAR_SHARE)
-        if letters >= 12 and m - n >= WIDE_BYTES and margin >= WIDE_SHARE:
-            return best, margin
-        return None, margin
+        wide = letters >= FAR_LETTERS and m - n >= WIDE_BYTES and margin >= WIDE_SHARE or letters >= FEW_LETTERS and m - n >= FAR_BYTES and margin >= FAR_SHARE
+        return best if wide else None, margin
 
 
 def _once(text: str) -> list[str]:
     """The words of a text without those that are repeated: a word said ten times is no more of a language than said once."""
     words = text.split()
-    if len({*words}) == len(words):
+    if len(set(words)) == len(words):
         return words
     seen: set[str] = set()
     out = []
@@ -181,9 +203,11 @@ def script_of(text: str) -> str | None:
         return "Latin" if any(map(str.isalpha, text)) else None
     best, most = None, 0
     for name, pattern in SCRIPTS:
-        n = len(pattern.findall(text)) * (3 if name == "Han" else 1)
+        n = len("".join(pattern.findall(text))) * LETTER_WEIGHT.get(name, 1)
         if n > most:
             best, most = name, n
+            if n > LETTER_WEIGHT["Han"] * (len(text) - n):
+                break
     return best
 
 
@@ -192,16 +216,22 @@ def _classifier(dictionaries: tuple[tuple[str, str], ...]) -> Classifier:
     return Classifier(dict(dictionaries))
 
 
-def dictionaries(sentence_data: DataFrame, lang_sample: DataFrame) -> tuple[tuple[str, str], ...]:
-    """The dictionary of each sampled language: its clean sentences, then recurring lines and sentences that mostly stand under its label."""
+def dictionaries(sentence_data: DataFrame, lang_sample: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[tuple[str, str], ...]:
+    """The dictionary of each sampled language: its clean sentences, then recurring lines and sentences that mostly stand under its label.
+
+    The dictionaries are the classifier's model: a bounded sample of labelled text (``sample_rows`` sentences, ``DICTIONARY_CHARS``
+    of the most frequent lines), chosen by counts over all records. The ranking is cut in 64 parts per label first, so no task sorts all lines.
+    """
     samples: dict[str, list[str]] = {}
-    for r in lang_sample.where("text IS NOT NULL AND lang IS NOT NULL").orderBy("sample_id").limit(5000).collect():
+    for r in lang_sample.where("text IS NOT NULL AND lang IS NOT NULL").orderBy("sample_id").limit(sample_rows).collect():
         samples.setdefault(r.lang, []).append(r.text)
     lines = sentence_data.where("text IS NOT NULL").select(label_of(F.col("lang")).alias("label"), F.explode(F.split("text", _UNIT_END)).alias("line"))
-    lines = lines.where(F.length("line").between(3, 160) & F.col("label").isin(list(samples))).withColumn("line", F.trim(F.regexp_replace("line", "[0-9]+", "#")))
+    lines = lines.where(F.length("line").between(*LINE_CHARS) & F.col("label").isin(list(samples))).withColumn("line", F.trim(F.regexp_replace("line", "[0-9]+", "#")))
     counts = lines.groupBy("line", "label").agg(F.count(F.lit(1)).alias("n"))
-    pure = counts.groupBy("line").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("top")).where("total >= 8 AND top.n >= 0.7 * total")
-    ranked = pure.select(F.col("top.label").alias("label"), "line", "total").withColumn("chars", F.expr("sum(length(line) + 1) OVER (PARTITION BY label ORDER BY total DESC, line)")).where(F.col("chars") <= DICTIONARY_CHARS)
+    seen = counts.groupBy("line").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("top"))
+    ranked = seen.where((F.col("total") >= SIGHTINGS) & (F.col("top.n") >= PURE * F.col("total"))).select(F.col("top.label").alias("label"), "line", "total", F.pmod(F.xxhash64("line"), F.lit(64)).alias("part"))
+    for groups in ("label, part", "label"):
+        ranked = ranked.withColumn("chars", F.expr(f"sum(length(line) + 1) OVER (PARTITION BY {groups} ORDER BY total DESC, line)")).where(F.col("chars") <= DICTIONARY_CHARS)
     extra: dict[str, list[str]] = {}
     for r in ranked.orderBy("label", "total", "line").collect():
         extra.setdefault(r.label, []).append(r.line)
@@ -213,23 +243,19 @@ def record_languages(sentence_data: DataFrame, lang_sample: DataFrame) -> DataFr
     content = dictionaries(sentence_data, lang_sample)
     samples = sample_sentences(lang_sample)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fix, judge = repairer(samples).repair, _classifier(content).record
         for batch in batches:
-            out = [judge(fix(t)[0]) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "rec_id": batch["rec_id"],
-                    "file_path": batch["file_path"],
-                    "label": batch["label"],
-                    "segments": [[{"lang": a, "confidence": float(c)} for a, c in s] for s, _ in out],
-                    "near": [n for _, n in out],
-                }
-            )
+            out = [judge(fix(t)[0]) for t in batch.column("text").to_pylist()]
+            ends = pa.array(np.cumsum([0, *(len(s) for s, _ in out)]), pa.int32())
+            parts = [x for s, _ in out for x in s]
+            pairs = pa.StructArray.from_arrays([pa.array([a for a, _ in parts], pa.string()), pa.array([float(c) for _, c in parts], pa.float64())], names=["lang", "confidence"])
+            columns = [batch.column(c) for c in ("rec_id", "file_path", "label")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pairs), pa.array([n for _, n in out], pa.list_(pa.string()))], names=["rec_id", "file_path", "label", "segments", "near"])
 
     rows = sentence_data.where("rec_id IS NOT NULL AND text RLIKE '\\\\S'").select("rec_id", "file_path", label_of(F.col("lang")).alias("label"), "text")
     schema = "rec_id bigint, file_path string, label string, segments array<struct<lang: string, confidence: double>>, near array<string>"
-    found = cut_lineage(rows.mapInPandas(run, schema))
+    found = cut_lineage(rows.mapInArrow(run, schema))
 
     sure = found.where("size(near) = 0 AND size(segments) > 0").groupBy("file_path", F.col("segments")[0]["lang"].alias("lang")).agg(F.count(F.lit(1)).alias("n"))
     files = sure.groupBy("file_path").agg(F.max(F.struct("n", "lang")).alias("top")).select("file_path", F.col("top.lang").alias("file_lang"))

@@ -128,7 +128,7 @@ def test_cyrillic_without_deciding_letters(spark):
     french = "Quand la sphère devient thermique, l’énergie le devient aussi."
     assert [x for x, _ in c.record(f"Сначала нужно проверить, что мера конечна! {french}")[0]] == ["ru", "fr"]
     assert [x for x, _ in c.record(f"Без поняття густини не можна пояснити міру. {french} Что если теплота мала?")[0]][:2] == ["uk", "fr"]
-    assert c._own({"ru": 60, "uk": 40}, 30, "Що станеться, якщо сила зникне")[0] == "uk"
+    assert c._own({"ru": 60, "uk": 40}, 30)[0] == "uk"
     # sentences that recur within lines enter the dictionary of the label they stand under
     rows = [(i, "a.txt", "ru", f"Волна {'абвгдежзик'[i]} мала. Доктор удерживал температуру около {i} единиц. Связь {'абвгдежзик'[i]}.", None) for i in range(10)]
     assert "Доктор удерживал температуру около # единиц." in dict(language.dictionaries(records(spark, rows), sample_table(spark)))["ru"]
