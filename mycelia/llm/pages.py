@@ -8,43 +8,67 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mycelia.operators.numbering import dense_number
 
-#: A file of more records is taken in stretches of about so many, each like a file of its own.
-STRETCH = 5000
+#: A file of more records is taken in stretches of so many. Each sees ``OVERLAP`` records of its neighbours as well, which it reports nothing of.
+STRETCH, OVERLAP = 5000, 100
 
 
 def file_rows(sentence_data: DataFrame, suffix: str) -> DataFrame:
-    """``rec_id, file_path, stretch, source, text`` of the records whose path ends in ``suffix`` (any case), sorted by file within partitions.
+    """``rec_id, file_path, stretch, own, source, text`` of the records whose path ends in ``suffix`` (any case), sorted by file within partitions.
 
     Records without a key are left out; repeated ones stand beside each other and are dropped while reading. A file that holds a
-    large share of all rows is dealt out by ranges of ``rec_id``, so no task gets it whole.
+    large share of all rows is dealt out by the place of its records in it, so no task gets it whole. Records near a border are
+    given to both sides, to one of them as its ``own``: a divided word, a page or a running title that goes on over the border is seen whole.
     """
-    rows = sentence_data.where(F.col("rec_id").isNotNull() & F.lower("file_path").endswith(suffix)).select("rec_id", "file_path", "source", "text")
-    sizes = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.min("rec_id").alias("low"), F.max("rec_id").alias("high")).where(F.col("n") > STRETCH)
-    span = F.greatest(F.lit(1), ((F.col("high") - F.col("low") + 1) * STRETCH / F.col("n")).cast("long"))
-    stretch = F.coalesce(F.floor((F.col("rec_id") - F.col("low")) / span), F.lit(0)).alias("stretch")
-    dealt = rows.join(sizes, "file_path", "left").select("rec_id", "file_path", stretch, "source", "text")
-    return dealt.repartition("file_path", "stretch").sortWithinPartitions("file_path", "stretch", "rec_id")
+    columns = ["rec_id", "file_path", "source", "text"]
+    rows = sentence_data.where(F.col("rec_id").isNotNull() & F.lower("file_path").endswith(suffix)).select(*columns)
+    sizes = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > STRETCH).select("file_path")
+    large = rows.join(sizes, "file_path", "left_semi").dropDuplicates(["rec_id"])
+    if large.isEmpty():
+        dealt = rows.withColumn("stretch", F.lit(0).cast("long")).withColumn("own", F.lit(True))
+    else:
+        placed = dense_number(large.select("file_path", "rec_id"), ["file_path", "rec_id"], "place")
+        first = placed.groupBy("file_path").agg(F.min("place").alias("first"))
+        at = placed.join(first, "file_path").select("rec_id", (F.col("place") - F.col("first")).alias("at"))
+        home = F.floor(F.col("at") / STRETCH)
+        near = F.array(F.floor((F.col("at") - OVERLAP) / STRETCH), home, F.floor((F.col("at") + OVERLAP) / STRETCH))
+        spread = large.join(at, "rec_id").withColumn("home", home).select(*columns, "home", F.explode(F.array_distinct(near)).alias("stretch")).where("stretch >= 0")
+        dealt = rows.join(sizes, "file_path", "left_anti").select(*columns, F.lit(0).cast("long").alias("stretch"), F.lit(True).alias("own"))
+        dealt = dealt.unionByName(spread.select(*columns, "stretch", (F.col("stretch") == F.col("home")).alias("own")))
+    return dealt.select("rec_id", "file_path", "stretch", "own", "source", "text").repartition("file_path", "stretch").sortWithinPartitions("file_path", "stretch", "rec_id")
 
 
 def by_file(per_file: Callable[[list[tuple]], list[tuple]], columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A ``mapInPandas`` function over :func:`file_rows`: calls ``per_file`` with the ``(rec_id, source, text)`` of each file in order."""
+    """A ``mapInPandas`` function over :func:`file_rows`: calls ``per_file`` with the ``(rec_id, source, text)`` of each file in order.
+
+    If the rows of ``per_file`` begin with a ``rec_id``, those of records that are not the stretch's own are dropped.
+    """
+    keyed = columns[0] == "rec_id"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, records, last = None, [], None
+        path, records, foreign = None, [], set()
+
+        def done() -> list[tuple]:
+            if len(foreign) == len(records):  # a neighbour beyond the last record
+                return []
+            found = per_file(records) if keyed or not foreign else per_file([r for r in records if r[0] not in foreign])
+            return [row for row in found if row[0] not in foreign] if keyed and foreign else found
+
         for batch in batches:
             out: list[tuple] = []
             keys = zip(batch["file_path"], batch["stretch"], strict=True)
-            for rec_id, key, source, text in zip(batch["rec_id"], keys, batch["source"], batch["text"], strict=True):
+            for rec_id, key, own, source, text in zip(batch["rec_id"], keys, batch["own"], batch["source"], batch["text"], strict=True):
                 if key != path:
                     if records:
-                        out += per_file(records)
-                    path, records, last = key, [], None
-                if rec_id != last:
+                        out += done()
+                    path, records, foreign = key, [], set()
+                if not records or rec_id != records[-1][0]:
                     records.append((rec_id, source, text))
-                    last = rec_id
+                    if not own:
+                        foreign.add(rec_id)
             yield pd.DataFrame(out, columns=columns)
         if records:
-            yield pd.DataFrame(per_file(records), columns=columns)
+            yield pd.DataFrame(done(), columns=columns)
 
     return run

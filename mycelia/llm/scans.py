@@ -4,10 +4,12 @@
   or by standing beside a page number or the name of the source.
 * *Breaks*: a line that ends in a hyphen is a break unless the corpus writes the compound with
   its hyphen. The continuation is the next line of the body, also on the next page.
-* *Misread words*: the corpus frequency lexicon is indexed by symmetric deletes of confusable glyphs: a
-  word with a confusable group taken out is a key, and so is a frequent word with the glyph it is
-  confused with taken out. Keys meet in an equi-join; the weight of the confusion pair, the
-  frequencies and the preceding word pick the repair.
+* *Misread words*: a symmetric-delete index over the corpus frequency lexicon. Every word of a scan and every lexicon word
+  at least ``RATIO`` times as frequent as any rare word can be is stored under all its deletes of up to two letters (one in a short word);
+  words that share a delete are candidates. A weighted edit distance, in which confused glyph groups are cheap and any other edit is
+  dear, and the context of the preceding word over all records score each candidate against the word as read; the best one wins.
+  A word with a digit or foreign letter inside counts as unlikely to be meant as read; only if the index has nothing for it is it
+  straightened glyph by glyph.
 
 Wrong encodings are turned back first. Defined results: null and blank texts have no row; a repeated
 record gives its rows once; a furniture line has no other kind.
@@ -20,6 +22,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,17 +42,24 @@ CONFUSIONS = (
     ("ш", "щ", 1.0), ("ы", "ьі", 0.8), ("ы", "ьi", 0.8), ("ы", "ы", 9.0), ("ю", "іо", 0.8), ("ж", "зк", 1.2), ("п", "н", 1.2), ("щ", "ш", 1.2), ("й", "и", 1.2), ("ё", "е", 2.0),
 )
 _BY_READ: dict[str, list[tuple[str, float]]] = {}
-_BY_PRINTED: dict[str, list[str]] = {}
 for _p, _r, _w in CONFUSIONS:
     if _p != _r and _w < 2:
         _BY_READ.setdefault(_r, []).append((_p, _w))
-        _BY_PRINTED.setdefault(_p, []).append(_r)
+LOST_ACCENT = 1.2
 WEIGHTS = {(p, r): w for p, r, w in CONFUSIONS}
 
-#: A repair is so many times as frequent as what it replaces, and occurs so often.
-RATIO, LEAST = 8, 4
+#: A repair is so many times as frequent as what it replaces.
+RATIO = 8
+#: The weight of an edit that is no known confusion, the most edits of a word, the length from
+#: which a word is stored under deletes of two letters, and the length below which unknown edits weigh more.
+OTHER, EDITS, LONG, SHORT = 3.0, 2, 5, 6
+#: What a unit of edit weight costs, what the preceding word is worth, and how unlikely a word with a sign or digit inside is meant as read.
+COST, CONTEXT, ODD = 2.0, 1.0, 4.0
 
 _TOKEN = re.compile(r"[^\W_]*[^\W\d_][\w†@̀-ͯ]*|\d[\w†@]*[^\W\d_]\w*|[†@][^\W\d_]\w+")
+#: Signs that runs of letters and digits do not tell words by.
+_SPECIAL, _RUN = re.compile("[_†@\u0300-\u036f\ufb00-\ufb06]"), re.compile(r"\w+")
+_LIGATURE = re.compile("[\ufb00-\ufb06]")
 _HYPHEN = re.compile(r"([^\W\d_]+)[-‐\xad¬]\s*$")
 _NUMBER = re.compile(
     r"^(?:[·•\-–—\[(]\s*)?(?:(?:page|pag|p|s|стр|с|seite|página|pág|folio)\.?\s*)?(?=[\dlIoO]*\d|[lI][\dlIoO]+|[lI]$)[\dlIoO]{1,4}(?:\s*/\s*[\dlIoO]{1,4})?(?:\s*[·•\-–—\])])?$",
@@ -62,7 +72,13 @@ _LATIN, _CYRILLIC = re.compile("[a-zà-ÿ]", re.I), re.compile("[а-яёіїєґ
 
 
 def tokens(line: str) -> list[str]:
-    return _TOKEN.findall(unicodedata.normalize("NFC", line) if not line.isascii() else line)
+    """The words of a line; ligatures count as their letters."""
+    if not _SPECIAL.search(line):
+        return [w for w in _RUN.findall(line) if not w.isdecimal()]
+    if not line.isascii():
+        line = unicodedata.normalize("NFC", line)
+        line = _LIGATURE.sub(lambda m: unicodedata.normalize("NFKC", m.group()), line)
+    return _TOKEN.findall(line)
 
 
 def odd(word: str) -> bool:
@@ -79,54 +95,114 @@ def odd(word: str) -> bool:
     return letters >= 3 and sum(map(str.islower, word)) >= 2
 
 
-def keys(word: str, table: dict) -> list[tuple[str, str]]:
-    """``(word without one confusable group, the group)``, the gap marked."""
-    out = []
-    for i in range(len(word)):
-        for n in (1, 2):
-            group = word[i : i + n]
-            if len(group) == n and group in table:
-                out.append((f"{word[:i]}_{word[i + n :]}", group))
-    return out
+#: Groups of two letters that one letter is read as; they are taken out as one.
+GROUPS = frozenset(r for _, r, _ in CONFUSIONS if len(r) == 2)
+
+
+def deletes(word: str) -> set[str]:
+    """The word and what is left of it without one letter or confused group, and without two if it is long."""
+    one = _shorter(word)
+    return one | {word} if len(word) < LONG else one | {word}.union(*map(_shorter, one))
+
+
+def _shorter(word: str) -> set[str]:
+    return {word[:i] + word[i + 1 :] for i in range(len(word))} | {word[:i] + word[i + 2 :] for i in range(len(word) - 1) if word[i : i + 2] in GROUPS}
+
+
+@lru_cache(maxsize=100_000)
+def confusion(printed: str, read: str) -> float | None:
+    """The weight of reading a letter as a group, null if that is no known confusion; an accent may be lost on the way."""
+    if (printed, read) in WEIGHTS:
+        return WEIGHTS[printed, read]
+    base = unicodedata.normalize("NFD", printed)[0]
+    if base == printed:
+        return None
+    return LOST_ACCENT if base == read else LOST_ACCENT / 3 + WEIGHTS[base, read] if (base, read) in WEIGHTS else None
+
+
+def distance(printed: str, read: str, limit: float) -> tuple[float, int, int] | None:
+    """``(weight, first, last)``: the least weight of edits that make ``read`` out of ``printed`` and where in ``read`` they lie; null above ``limit``.
+
+    An edit that is no known confusion says the less the shorter the word is: most short words are one letter from another.
+    """
+    n, m = len(printed), len(read)
+    other = OTHER * max(1.0, SHORT / m)
+    rows: list[list[tuple[float, int, int]]] = [[(j * other, 0 if j else m, j - 1) for j in range(m + 1)]]
+    for i in range(1, n + 1):
+        row = [(i * other, 0, 0)]
+        above = rows[i - 1]
+        for j in range(1, m + 1):
+            a, b = printed[i - 1], read[j - 1]
+            if a == b:
+                best = above[j - 1]
+            else:
+                w, f, t = above[j - 1]
+                known = confusion(a, b)
+                best = (w + (other if known is None else known), min(f, j - 1), max(t, j - 1))
+            for w, f, t in ((above[j][0] + other, *above[j][1:]), (row[j - 1][0] + other, *row[j - 1][1:])):
+                if w < best[0]:
+                    best = (w, min(f, j - 1), max(t, j - 1))
+            if j > 1 and (w := confusion(a, read[j - 2 : j])) is not None and above[j - 2][0] + w < best[0]:
+                best = (above[j - 2][0] + w, min(above[j - 2][1], j - 2), max(above[j - 2][2], j - 1))
+            row.append(best)
+        if min(r[0] for r in row) > limit:
+            return None
+        rows.append(row)
+    weight, first, last = rows[n][m]
+    return (weight, first, last) if weight <= limit else None
 
 
 # -- the corpus lexicon ----------------------------------------------------------------------------
-def lexicon(sentence_data: DataFrame) -> DataFrame:
-    """``word, n``: how often every word, and every compound with a hyphen inside a line, occurs in all records."""
+#: Characters of ordinary text; only a text with others may be wrongly decoded and is turned back before its words are counted.
+_ORDINARY = re.compile(r"[\x00-\x7fàâäçéèêëîïôöùûüßñáíóúÄÖÜÉ¿¡«»а-яА-ЯёЁіїєґІЇЄҐ“”„’–—…ऀ-ॿ฀-๿぀-ヿ一-鿿。、「」，：！？（）·•°©œ¬‐\xad]*")
+
+
+def counts(sentence_data: DataFrame, samples: tuple[str, ...]) -> DataFrame:
+    """``word, hash, n``: how often every word, and every compound with a hyphen inside a line, occurs in all records; and, with a null
+    ``word``, how often every pair of neighbouring words does, by the hash of both. Words are counted in repaired text."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compound = re.compile(r"(?<![^\W\d_])[^\W\d_]{2,}(?:-[^\W\d_]{2,})+")
+        fix = repairer(samples).repair
         for batch in batches:
             n: Counter = Counter()
+            pairs: Counter = Counter()
             for text in batch["text"]:
-                lower = text.lower()
-                n.update(tokens(lower))
+                lower = (text if _ORDINARY.fullmatch(text) else fix(text)[0]).lower()
+                words = tokens(lower)
+                n.update(words)
+                pairs.update(zip(words, words[1:]))
                 if "-" in lower:
                     n.update(compound.findall(lower))
-            yield pd.DataFrame({"word": list(n.keys()), "n": list(n.values())})
-
-    return sentence_data.where("text IS NOT NULL").select("text").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+            yield pd.DataFrame({"prev": [""] * len(n) + [a for a, _ in pairs], "word": [*n, *(b for _, b in pairs)], "n": [*n.values(), *pairs.values()]})
 
+    rows = sentence_data.where("text IS NOT NULL").select("text").mapInPandas(count, "prev string, word string, n bigint")
+    return rows.select(F.when(F.col("prev") == "", F.col("word")).alias("word"), F.xxhash64("prev", "word").alias("hash"), "n").groupBy("hash", "word").agg(F.sum("n").alias("n"))
 
-def repairs(words: DataFrame) -> DataFrame:
-    """``word, repair, at, weight, n``: what misread words stand for, by deletes of confusable groups from both sides."""
 
-    def index(read: bool):
-        table = _BY_READ if read else _BY_PRINTED
+def repairs(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``word, repair, n, m, weight, first, last``: lexicon words that ``words`` (``word, n``) may stand for, by deletes from both sides."""
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [(k, g, w, n, k.index("_")) for w, n in zip(batch["word"], batch["n"], strict=True) if 3 <= len(w) <= 60 and "-" not in w for k, g in keys(w, table)]
-                yield pd.DataFrame(rows, columns=["key", "group", "word", "n", "at"])
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, w, n) for w, n in zip(batch["word"], batch["n"], strict=True) if "-" not in w for k in deletes(w)]
+            yield pd.DataFrame(rows, columns=["key", "word", "n"])
 
-        return run
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for word, repair, n, m in zip(batch["word"], batch["repair"], batch["n"], batch["m"], strict=True):
+                found = distance(repair, word, EDITS * OTHER)
+                if found:
+                    out.append((word, repair, n, m, *found))
+            yield pd.DataFrame(out, columns=["word", "repair", "n", "m", "weight", "first", "last"])
 
-    schema = "key string, group string, word string, n bigint, at int"
-    misread = words.mapInPandas(index(True), schema)
-    printed = words.where(F.col("n") >= LEAST).mapInPandas(index(False), schema).select("key", F.col("group").alias("as"), F.col("word").alias("repair"), F.col("n").alias("m"))
-    pairs = F.create_map(*[F.lit(x) for p, r, w in CONFUSIONS if (p != r and w < 2) for x in (f"{p}>{r}", w)])
-    met = misread.join(printed, "key").where(F.col("m") >= RATIO * F.col("n")).withColumn("weight", pairs[F.concat("as", F.lit(">"), "group")]).where("weight IS NOT NULL")
-    return met.select("word", "repair", "at", "weight", F.col("m").alias("n"))
+    keyed = F.xxhash64("key").alias("key")
+    read = words.where(F.length("word") >= 3).mapInPandas(index, "key string, word string, n bigint").select(keyed, "word", "n")
+    printed = lexicon.where((F.col("n") >= RATIO) & (F.length("word") >= 3)).mapInPandas(index, "key string, word string, n bigint").select(keyed, F.col("word").alias("repair"), F.col("n").alias("m"))
+    near = (F.col("m") >= RATIO * F.col("n")) & (F.abs(F.length("word") - F.length("repair")) <= EDITS)
+    met = read.join(printed, "key").where(near).select("word", "repair", "n", "m").distinct()
+    return met.mapInPandas(measure, "word string, repair string, n bigint, m bigint, weight double, first int, last int")
 
 
 # -- lines -----------------------------------------------------------------------------------------
@@ -182,11 +258,11 @@ def _stands_alone(lines: list[str], i: int) -> bool:
     return bool(after) and (after[0].isupper() or after[0] in "«“„\"¿¡(0123456789") and len(lines[i].strip()) < 0.8 * width
 
 
-def line_facts(sentence_data: DataFrame, samples: tuple[str, ...]) -> DataFrame:
+def line_facts(sentence_data: DataFrame, samples: tuple[str, ...], common: frozenset[str] = frozenset()) -> DataFrame:
     """``rec_id, line_no, kind, word, other, prev, cut``.
 
     ``furniture``; ``join``: a line-end hyphen with the joined word, the compound in ``other`` and the length of its
-    first part in ``cut``; ``word``: a word of the line with the one before it; ``odd``: a word misread by its looks.
+    first part in ``cut``; words in ``common`` are left out; ``tail``: the same at its second part; ``word``: a word of the line with the one before it.
     """
     columns = ["rec_id", "line_no", "kind", "word", "other", "prev", "cut"]
 
@@ -208,9 +284,6 @@ def line_facts(sentence_data: DataFrame, samples: tuple[str, ...]) -> DataFrame:
                 head = m.group(1)
                 if following and body[k + 1][2].lstrip()[:1].isalnum():
                     out.append((rec_id, i, "join", (head + following[0]).lower(), f"{head}-{following[0]}".lower(), None, len(head)))
-                    if odd(head + following[0]):
-                        at = next(j for j, c in enumerate(head + following[0]) if not c.isalpha() or c == "ſ" or (_LATIN.match(c) is None) != (_LATIN.match((head + following[0])[0]) is None))
-                        out.append((rec_id if at < len(head) else body[k + 1][0], i if at < len(head) else body[k + 1][1], "odd", head + following[0], None, None, 0))
                     out.append((body[k + 1][0], body[k + 1][1], "tail", (head + following[0]).lower(), None, None, len(head)))
                     skip_first = True
                     words = words[:-1]
@@ -219,40 +292,72 @@ def line_facts(sentence_data: DataFrame, samples: tuple[str, ...]) -> DataFrame:
                     words = words[:-1]
             prev = None
             for w in words:
-                if odd(w):
-                    out.append((rec_id, i, "odd", w, None, None, 0))
-                elif len(w) >= 3 and w.isalpha():
-                    out.append((rec_id, i, "word", w.lower(), None, prev, 0))
-                prev = w.lower()
+                low = w.lower()
+                if low not in common and (len(w) >= 3 and w.isalpha() or odd(w)):
+                    out.append((rec_id, i, "word", low, None, prev, 0))
+                prev = low
         return out
 
     schema = "rec_id bigint, line_no int, kind string, word string, other string, prev string, cut int"
     return file_rows(sentence_data, ".pdf").mapInPandas(by_file(per_file, columns), schema)
 
 
-def line_repairs(sentence_data: DataFrame, lang_sample: DataFrame) -> DataFrame:
-    """``rec_id, line_no, kind, word, repair``: every line to be repaired and what stands for its words."""
-    words = cut_lineage(lexicon(sentence_data))
-    facts = cut_lineage(line_facts(sentence_data, sample_sentences(lang_sample)))
-    fixes = cut_lineage(repairs(words))
+def strange(word: str) -> tuple[int, int] | None:
+    """Where the first and last strange glyphs of an odd word lie; null for any other word."""
+    if not odd(word):
+        return None
+    cyrillic = len(_CYRILLIC.findall(word)) > len(_LATIN.findall(word))
+    fits = _CYRILLIC if cyrillic else _LATIN
+    at = [i for i, c in enumerate(word) if not fits.match(c) or c == "ſ"]
+    return at[0], at[-1]
+
 
-    furniture = facts.where("kind = 'furniture'").select("rec_id", "line_no", "kind", "word", F.lit(None).cast("string").alias("repair"))
-    # odd words are cases whether or not the lexicon knows what they stand for
-    likeliest = fixes.groupBy(F.col("word").alias("low")).agg(F.max_by("repair", F.struct(F.log("n") - 4 * F.col("weight"), "repair")).alias("repair"))
-    odd_words = facts.where("kind = 'odd'").withColumn("low", F.lower("word")).join(likeliest, "low", "left").select("rec_id", "line_no", F.lit("chars").alias("kind"), "word", "repair")
-    plain = furniture.unionByName(odd_words)
+def line_repairs(sentence_data: DataFrame, lang_sample: DataFrame) -> DataFrame:
+    """``rec_id, line_no, kind, word, repair, path``: every line to be repaired and what stands for its words.
 
+    ``path`` of a misread word: ``index`` if the lexicon's index decided, ``looks`` if it has no candidate for a word with a strange glyph.
+    """
+    samples = sample_sentences(lang_sample)
+    counted = cut_lineage(counts(sentence_data, samples))
+    words, pairs = counted.where("word IS NOT NULL").select("word", "n"), counted.where("word IS NULL").select("hash", "n")
+    # a word that is more than 1/RATIO as frequent as the most frequent one has no candidate; by their sum these are few words
+    most = words.agg(F.max("n")).first()[0] or 0
+    common = frozenset(r.word for r in words.where(F.col("n") * RATIO > most).select("word").collect())
+    facts = cut_lineage(line_facts(sentence_data, samples, common))
+
+    furniture = facts.where("kind = 'furniture'").select("rec_id", "line_no", "kind", "word", F.lit(None).cast("string").alias("repair"), F.lit(None).cast("string").alias("path"))
     joins = facts.where("kind = 'join'").select("rec_id", "line_no", "word", "other")
     whole, split = words.select("word", F.col("n").alias("whole")), words.where("word LIKE '%-%'").select(F.col("word").alias("other"), F.col("n").alias("split"))
     kept = F.coalesce("split", F.lit(0)) > F.coalesce("whole", F.lit(0))
-    breaks = joins.join(split, "other", "left").join(whole, "word", "left").where(~kept).select("rec_id", "line_no", F.lit("break").alias("kind"), "other", F.col("word").alias("repair"))
+    breaks = joins.join(split, "other", "left").join(whole, "word", "left").where(~kept).select("rec_id", "line_no", F.lit("break").alias("kind"), F.col("other").alias("word"), F.col("word").alias("repair"), F.lit(None).cast("string").alias("path"))
 
+    def looks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = [strange(w) for w in batch["word"]]
+            out = pd.DataFrame({"word": batch["word"], "odd": [x is not None for x in at], "left": [x[0] if x else -1 for x in at], "right": [x[1] if x else -1 for x in at]})
+            yield out
+
+    seen = facts.where("kind IN ('word', 'join', 'tail')")
+    # a divided word is counted in its parts, so as a whole it may be new to the lexicon
+    asked = seen.select("word").distinct().join(words, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("n"))
+    fixes = cut_lineage(repairs(asked, words))
+    oddities = cut_lineage(asked.select("word").mapInPandas(looks, "word string, odd boolean, left int, right int").where("odd"))
+
+    # each occurrence of a word with candidates: the word as read against every candidate, by frequency, edits and the word before
+    options = fixes.join(oddities, "word", "left").join(seen, "word")
+    together = lambda a, b, name: pairs.select(F.col("hash").alias(a), F.col("n").alias(b + name))
+    scored = options.withColumn("h1", F.when(F.col("prev").isNotNull(), F.xxhash64("prev", "repair"))).withColumn("h0", F.when(F.col("prev").isNotNull(), F.xxhash64("prev", "word")))
+    scored = scored.join(together("h1", "with", "_repair"), "h1", "left").join(together("h0", "with", "_word"), "h0", "left")
+    context = lambda c, less: CONTEXT * F.log1p(F.greatest(F.coalesce(c, F.lit(0)) - less, F.lit(0)))
+    own = F.log("n") + context("with_word", 1) - F.when(F.coalesce("odd", F.lit(False)), ODD).otherwise(0.0)
+    gain = F.log("m") + context("with_repair", 0) - COST * F.col("weight") - own
+    best = scored.withColumn("gain", gain).groupBy("rec_id", "line_no", "kind", "word", "prev", "cut").agg(F.max_by(F.struct("repair", "first", "last", "gain"), F.struct("gain", "repair")).alias("top")).where("top.gain > 0")
     # a misread glyph lies on the line of its part of a divided word
-    candidates = fixes.join(facts.where("kind IN ('word', 'join', 'tail')"), "word").where("kind = 'word' OR (kind = 'join' AND at < cut) OR (kind = 'tail' AND at >= cut)")
-    bigrams = facts.where("kind = 'word' AND prev IS NOT NULL").groupBy("prev", F.col("word").alias("repair")).agg(F.count(F.lit(1)).alias("together"))
-    ranked = candidates.join(bigrams, ["prev", "repair"], "left").withColumn("score", F.log("n") + 3 * F.log1p(F.coalesce("together", F.lit(0))) - 4 * F.col("weight"))
-    chars = ranked.groupBy("rec_id", "line_no", "word").agg(F.max_by("repair", F.struct("score", "repair")).alias("repair")).select("rec_id", "line_no", F.lit("chars").alias("kind"), "word", "repair")
-    return plain.unionByName(breaks.withColumnRenamed("other", "word")).unionByName(chars)
+    on_line = "kind = 'word' OR (kind = 'join' AND {0} < cut) OR (kind = 'tail' AND {1} >= cut)"
+    chars = best.where(on_line.format("top.first", "top.last")).select("rec_id", "line_no", F.lit("chars").alias("kind"), "word", "top.repair", F.lit("index").alias("path"))
+    left = oddities.join(fixes.select("word").distinct(), "word", "left_anti").join(seen, "word").where(on_line.format("left", "right"))
+    by_looks = left.select("rec_id", "line_no", F.lit("chars").alias("kind"), "word", F.lit(None).cast("string").alias("repair"), F.lit("looks").alias("path"))
+    return furniture.unionByName(breaks).unionByName(chars).unionByName(by_looks)
 
 
 def lines_to_repair(sentence_data: DataFrame, lang_sample: DataFrame) -> DataFrame:
@@ -327,7 +432,7 @@ def paragraphs(sentence_data: DataFrame, lang_sample: DataFrame) -> DataFrame:
     Furniture is left out, so a sentence goes on over the end of a page; a new record begins no paragraph.
     """
     samples = sample_sentences(lang_sample)
-    marks = line_repairs(sentence_data, lang_sample).distinct()
+    marks = line_repairs(sentence_data, lang_sample).drop("path").distinct()
     per_line = marks.groupBy("rec_id", "line_no").agg(
         F.max(F.col("kind") == "furniture").alias("furniture"),
         F.max(F.col("kind") == "break").alias("divided"),
@@ -346,7 +451,7 @@ def paragraphs(sentence_data: DataFrame, lang_sample: DataFrame) -> DataFrame:
         columns = ["file_path", "stretch", "par_no", "text"]
         for batch in batches:
             out: list[tuple] = []
-            for rec_id, path, stretch, text, found in zip(batch["rec_id"], batch["file_path"], batch["stretch"], batch["text"], batch["marks"], strict=True):
+            for rec_id, path, stretch, own, text, found in zip(batch["rec_id"], batch["file_path"], batch["stretch"], batch["own"], batch["text"], batch["marks"], strict=True):
                 if (path, stretch) != key:
                     out += flush()
                     key, last, lines = (path, stretch), None, []

@@ -146,6 +146,41 @@ def test_scans(spark):
     assert scans.lines_to_repair(records(spark, rows).limit(0), sample_table(spark)).count() == 0
 
 
+def test_weighted_distance_and_deletes():
+    assert scans.deletes("abc") == {"abc", "bc", "ac", "ab"} and "fher" in scans.deletes("früher") and "cat" not in scans.deletes("zz")
+    assert scans.distance("theorem", "thcorem", 6.0) == (1.0, 2, 2) and scans.distance("comme", "comrne", 6.0)[0] == 0.8
+    assert round(scans.distance("wonder", "wnder", 6.0)[0], 9) == 3.6 and scans.distance("wave", "boats", 6.0) is None
+    assert scans.distance("früher", "friiher", 6.0)[1:] == (2, 3) and scans.distance("früher", "fruher", 6.0)[0] == 1.2
+
+
+def test_misreads_outside_the_table(spark):
+    clean = "The spectrum of the pendulum grows slowly. They compared the spectrum with the theory of the pendulum again.\n" * 12
+    # two errors in a word, a lost letter, a wrong letter of no known pair, and one on either part of a divided word
+    page = "The spcctrurn of it. The pendlum of it.\nThe spextrum of it stays.\nThey compared.\nThe spec-\ntrurn of the pcn-\ndulum again.\nThe naxos stays ou†side."
+    rows = [(1, "s.pdf", "en", page, None)] + [(10 + i, "t.txt", "en", clean, None) for i in range(40)]
+    table = records(spark, rows)
+    found = {(r.line_no, r.word, r.repair, r.path) for r in scans.line_repairs(table, sample_table(spark)).where("kind = 'chars'").collect()}
+    assert found == {
+        (0, "spcctrurn", "spectrum", "index"), (0, "pendlum", "pendulum", "index"), (1, "spextrum", "spectrum", "index"), (4, "spectrurn", "spectrum", "index"),
+        (4, "pcndulum", "pendulum", "index"), (6, "ou†side", None, "looks"),
+    }
+    wide = table.withColumn("word", table.text).withColumn("n", table.rec_id)  # clashing names are not read
+    assert scans.lines_to_repair(wide, sample_table(spark)).where("kind = 'chars'").count() == 4
+
+
+def test_borders_of_stretches_change_nothing(spark, monkeypatch):
+    from mycelia.llm import pages
+
+    body = "The matrix grows with the particle and the theorem follows the pendulum again.\n"
+    rows = [(i, "s.pdf", "en", "The thcorem grows with the parti-" if i % 2 else "cle and the matrix.", None) for i in range(1, 40)]
+    rows += [(100 + i, "t.txt", "en", body, None) for i in range(200)]
+    whole = {tuple(r) for r in scans.lines_to_repair(records(spark, rows), sample_table(spark)).collect()}
+    monkeypatch.setattr(pages, "STRETCH", 7)
+    monkeypatch.setattr(pages, "OVERLAP", 3)
+    assert {tuple(r) for r in scans.lines_to_repair(records(spark, rows), sample_table(spark)).collect()} == whole
+    assert {(i, 0, k) for i in range(1, 39, 2) for k in ("break", "chars")} <= whole
+
+
 def test_pages(spark):
     rows, expected = [], set()
     nouns = ["matrix", "theorem", "particle", "lattice", "vector", "cylinder", "membrane", "photon"]
@@ -207,8 +242,12 @@ def test_a_file_with_most_records_is_dealt_out(spark, monkeypatch):
     each = pages.by_file(lambda recs: [(len(recs), min(r[0] for r in recs))], ["n", "first"])
     assert sorted(r.n for r in pages.file_rows(table, ".html").mapInPandas(each, "n int, first bigint").collect()) == [4, 4, 4, 4, 4, 5, 5, 400]
     monkeypatch.setattr(pages, "STRETCH", 100)
+    monkeypatch.setattr(pages, "OVERLAP", 10)
     got = pages.file_rows(table, ".html").mapInPandas(each, "n int, first bigint").collect()
-    assert sum(r.n for r in got) == 430 and max(r.n for r in got) <= 101
+    assert sum(r.n for r in got) == 430 and max(r.n for r in got) == 100
+    keyed = pages.by_file(lambda recs: [(r[0], len(recs)) for r in recs], ["rec_id", "n"])
+    rows = pages.file_rows(table, ".html").mapInPandas(keyed, "rec_id bigint, n int").where("rec_id < 400").collect()
+    assert sorted(r.rec_id for r in rows) == list(range(400)) and {r.n for r in rows} == {110, 120}
 
 
 def test_assembling():
