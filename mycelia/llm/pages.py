@@ -39,8 +39,8 @@ def file_rows(sentence_data: DataFrame, suffix: str) -> DataFrame:
     return dealt.select("rec_id", "file_path", "stretch", "own", "source", "text").repartition("file_path", "stretch").sortWithinPartitions("file_path", "stretch", "rec_id")
 
 
-def by_file(per_file: Callable[[list[tuple]], list[tuple]], columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A ``mapInPandas`` function over :func:`file_rows`: calls ``per_file`` with the ``(rec_id, source, text)`` of each file in order.
+def by_file(per_file: Callable[[list[tuple]], list[tuple]], columns: list[str], extra: tuple[str, ...] = ()) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A ``mapInPandas`` function over :func:`file_rows`: calls ``per_file`` with the ``(rec_id, source, text, *extra)`` of each file in order.
 
     If the rows of ``per_file`` begin with a ``rec_id``, those of records that are not the stretch's own are dropped.
     """
@@ -58,15 +58,16 @@ def by_file(per_file: Callable[[list[tuple]], list[tuple]], columns: list[str])
         for batch in batches:
             out: list[tuple] = []
             keys = zip(batch["file_path"], batch["stretch"], strict=True)
-            for rec_id, key, own, source, text in zip(batch["rec_id"], keys, batch["own"], batch["source"], batch["text"], strict=True):
+            values = zip(batch["rec_id"], batch["source"], batch["text"], *(batch[c] for c in extra), strict=True)
+            for key, own, record in zip(keys, batch["own"], values, strict=True):
                 if key != path:
                     if records:
                         out += done()
                     path, records, foreign = key, [], set()
-                if not records or rec_id != records[-1][0]:
-                    records.append((rec_id, source, text))
+                if not records or record[0] != records[-1][0]:
+                    records.append(record)
                     if not own:
-                        foreign.add(rec_id)
+                        foreign.add(record[0])
             yield pd.DataFrame(out, columns=columns)
         if records:
             yield pd.DataFrame(done(), columns=columns)

@@ -174,7 +174,7 @@ def counts(sentence_data: DataFrame, samples: tuple[str, ...]) -> DataFrame:
                 pairs.update(zip(words, words[1:]))
                 if "-" in lower:
                     n.update(compound.findall(lower))
-            yield pd.DataFrame({"prev": [""] * len(n) + [a for a, _ in pairs], "word": [*n, *(b for _, b in pairs)], "n": [*n.values(), *pairs.values()]})
+            yield pd.DataFrame([*(("", w, k) for w, k in n.items()), *((a, b, k) for (a, b), k in pairs.items())], columns=["prev", "word", "n"])
 
     rows = sentence_data.where("text IS NOT NULL").select("text").mapInPandas(count, "prev string, word string, n bigint")
     return rows.select(F.when(F.col("prev") == "", F.col("word")).alias("word"), F.xxhash64("prev", "word").alias("hash"), "n").groupBy("hash", "word").agg(F.sum("n").alias("n"))
@@ -333,15 +333,13 @@ def line_repairs(sentence_data: DataFrame, lang_sample: DataFrame) -> DataFrame:
 
     def looks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at = [strange(w) for w in batch["word"]]
-            out = pd.DataFrame({"word": batch["word"], "odd": [x is not None for x in at], "left": [x[0] if x else -1 for x in at], "right": [x[1] if x else -1 for x in at]})
-            yield out
+            yield pd.DataFrame([(w, *at) for w in batch["word"] if (at := strange(w))], columns=["word", "left", "right"])
 
     seen = facts.where("kind IN ('word', 'join', 'tail')")
     # a divided word is counted in its parts, so as a whole it may be new to the lexicon
     asked = seen.select("word").distinct().join(words, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("n"))
     fixes = cut_lineage(repairs(asked, words))
-    oddities = cut_lineage(asked.select("word").mapInPandas(looks, "word string, odd boolean, left int, right int").where("odd"))
+    oddities = cut_lineage(asked.select("word").mapInPandas(looks, "word string, left int, right int"))
 
     # each occurrence of a word with candidates: the word as read against every candidate, by frequency, edits and the word before
     options = fixes.join(oddities, "word", "left").join(seen, "word")
@@ -349,7 +347,7 @@ def line_repairs(sentence_data: DataFrame, lang_sample: DataFrame) -> DataFrame:
     scored = options.withColumn("h1", F.when(F.col("prev").isNotNull(), F.xxhash64("prev", "repair"))).withColumn("h0", F.when(F.col("prev").isNotNull(), F.xxhash64("prev", "word")))
     scored = scored.join(together("h1", "with", "_repair"), "h1", "left").join(together("h0", "with", "_word"), "h0", "left")
     context = lambda c, less: CONTEXT * F.log1p(F.greatest(F.coalesce(c, F.lit(0)) - less, F.lit(0)))
-    own = F.log("n") + context("with_word", 1) - F.when(F.coalesce("odd", F.lit(False)), ODD).otherwise(0.0)
+    own = F.log("n") + context("with_word", 1) - F.when(F.col("left").isNotNull(), ODD).otherwise(0.0)
     gain = F.log("m") + context("with_repair", 0) - COST * F.col("weight") - own
     best = scored.withColumn("gain", gain).groupBy("rec_id", "line_no", "kind", "word", "prev", "cut").agg(F.max_by(F.struct("repair", "first", "last", "gain"), F.struct("gain", "repair")).alias("top")).where("top.gain > 0")
     # a misread glyph lies on the line of its part of a divided word

@@ -1,6 +1,7 @@
 """Encodings by round trip, sentences by hand, languages on held-out samples, scans and pages on small fixtures."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from mycelia.llm import encoding, language, mainbody, residue, scans, sentences
 
@@ -198,6 +199,28 @@ def test_pages(spark):
     assert mainbody.lines_outside(records(spark, [(1, "a.html", "en", None, None), (2, "a.txt", "en", "x", None)]), sample_table(spark)).count() == 0
 
 
+def test_the_density_decides(monkeypatch):
+    model = {"recurring": frozenset(["home help search", "accept all cookies please"]), "words": frozenset("matrix theorem grows with the of".split()), "shapes": frozenset()}
+    page = ["Home | Help | Search", "The matrix at home", "The matrix grows with the theorem of the old kind, and it stays closed.", "Accept all cookies please.", "Matrix", "The theorem grows.", "The theorem grows with the matrix of the new kind, too.", "Five facts about it", "Accept all cookies please."]
+    right = [True, False, False, True, False, False, False, True, True]
+    assert mainbody.Page(model).outside(page, "site") == right
+    body = (100.0, 50.0, 10.0, 5.0)
+    assert mainbody.Page.density((50.0, 50.0, 5.0, 5.0), body) == 0 < mainbody.Page.density((50.0, 25.0, 5.0, 5.0), body) < mainbody.Page.density((50.0, 0.0, 1.0, 0.0), body)
+    monkeypatch.setattr(mainbody.Page, "density", staticmethod(lambda node, body: 1.0))
+    assert mainbody.Page(model).outside(page, "site") == [False] * 9
+
+
+def test_what_recurs_on_a_site_only(spark, monkeypatch):
+    rows = [(i, f"s{i}.html", "en", f"Quux warble number {'abcdefghijkl'[i]}\nZaphod beeblebrox" if i < 4 else f"Own line {'abcdefghijkl'[i]} here", None) for i in range(12)]
+    table = records(spark, rows).withColumn("source", F.when(F.col("rec_id") < 4, "site-a").otherwise("site-b"))
+    assert mainbody.page_model(table, tuple(SAMPLES))[0]["recurring"] == {"zaphod beeblebrox"}
+    monkeypatch.setattr(mainbody, "PAGES_SHARE", 0.5)  # on too few of all pages
+    model, per_page = mainbody.page_model(table, tuple(SAMPLES))
+    assert not model["recurring"] and {(r.page, *r["keys"]) for r in per_page.collect()} == {(i, "zaphod beeblebrox") for i in range(4)}
+    got = {tuple(r) for r in mainbody.lines_outside(table, sample_table(spark)).collect()}
+    assert {(i, 1) for i in range(4)} <= got
+
+
 def test_residue(spark):
     nouns = ["wave", "node", "charge", "graph", "heat", "mass", "field", "flux"]
     names = ["title", "author", "topic", "date"]
