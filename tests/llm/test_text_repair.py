@@ -241,20 +241,40 @@ def test_residue(spark):
     assert residue.residue_documents(rows.limit(0)).count() == 0
 
 
+def reasons(spark, docs):
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    out = [set() for _ in docs]
+    for r in residue.residue_reasons(rows).collect():
+        out[r.doc_id].add(r.reason)
+    return out
+
+
 def test_slots_left_alike_on_many_pages(spark):
     docs = [f"Lesson {'abcdefgh'[i]} is ready. Welcome back dear {{{{name}}}} your notes are here." for i in range(6)]  # one place, one name
     docs += ["Written for {{name}} by {{date}} today.", "Written for {{date}} by {{name}} today."]
     quoted = ["The template language marks a slot as {{name}} and fills it.", "Write `{{name}}` and it is filled in later.", "In LaTeX one writes \\frac{{a}}{{b}} for it.", "def f(x): return {'node': x, 'edge': [x]}"]
-    rows = spark.createDataFrame(list(enumerate(docs + quoted)), "doc_id bigint, text string")
-    model = residue.models(rows)
-    assert [residue.Judge(model).kept_slot(t) for t in docs + quoted] == [True] * 8 + [False] * 4
+    assert ["slot" in r for r in reasons(spark, docs + quoted)] == [True] * 8 + [False] * 4
 
 
 def test_slots_that_occur_once(spark):
     docs = ["Without the notion of {имя} it cannot be said.", "Por <tema>, <autor> aquí la red queda.", "Resumen: {{ page.fecha | default }}\n", "By «tema» it is.", "He said «nothing» and <br> left [sic]."]
-    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
-    judge = residue.Judge(residue.models(rows))
-    assert [judge.kept_slot(t) for t in docs] == [True, True, True, True, False]
+    assert ["slot" in r for r in reasons(spark, docs)] == [True, True, True, True, False]
+
+
+def test_defaults_and_blanks_at_aligned_slots(spark):
+    filled = [f"The lesson on {x} was held by {y} in the old hall of the town, where {z} grew." for x, y, z in (("waves", "Brisko", "grass"), ("heat", "Anna Quorrin", "moss"), ("slow light", "Ostmere", "ivy"))]
+    left = ["The lesson on TBD was held by Halvane in the old hall.", "The lesson on waves was held by ____ in the old hall.", "The lesson on heat was held by [ ] in the old hall.", "The lesson on %topic% was held by %author% in the old hall."]
+    other = ["He wrote ____ on the wall and null in the log.", "A call to f() and an empty list [] are code.", "They said n/a twice."]
+    got = reasons(spark, filled + left + other)
+    assert [r & {"slot", "default", "blank"} for r in got] == [set()] * 3 + [{"default"}, {"blank"}, {"blank"}, {"slot"}] + [set()] * 3
+
+
+def test_page_templates_by_repeated_pages(spark):
+    nouns = ["wave", "node", "charge", "graph", "heat", "mass", "field", "flux"]
+    rich = [" ".join(f"The {nouns[(i + j) % 8]} w{chr(97 + i)}{chr(97 + j % 26)}{chr(97 + j // 26)} of the {nouns[(i * j) % 8]} q{chr(97 + (i * 7 + j) % 26)}z grows." for j in range(70)) for i in range(20)]
+    pages = [f"Zork failure 5{i}a at the relay.\nPlease knock again later." for i in range(3)] + ["A title of it\nZork failure 77 at the relay."]
+    got = reasons(spark, rich + pages + ["A short wave grows."])
+    assert ["page" in r for r in got] == [False] * 20 + [True] * 4 + [False]
 
 
 def test_a_file_with_most_records_is_dealt_out(spark, monkeypatch):
