@@ -26,6 +26,7 @@ class ConceptGraph:
     def __init__(self, spark: SparkSession, graph: G.Graph | None = None):
         self.spark, self._open = spark, False
         self._given = graph
+        self._transitions: tuple[G.Graph, DataFrame] | None = None
         self.connect()
 
     # -- session -------------------------------------------------------------------------------
@@ -73,10 +74,11 @@ class ConceptGraph:
         return OK
 
     def ingest(self, sentences: DataFrame, count: int | None = None) -> None:
-        """Fold a table of sentences (``sent_id``, ``tokens``) in; ids beyond the clock keep their order."""
-        ticks = G.clock(sentences).withColumn("op_seq", F.col("op_seq") + self._clock)
-        new = G.lemma_edges(sentences, ticks)
-        lemmas = G.exploded_tokens(sentences).where("lemma IS NOT NULL").join(ticks, "sent_id").select("lemma", (F.col("op_seq") * F.lit(1 << 20) + F.col("tok_idx")).alias("first_seen"))
+        """Fold a table of sentences (``sent_id``, ``tokens``) in, in the order of their ids; a repeated id is a repeated record and counts once."""
+        sentences = G.ticked(sentences).withColumn("op_seq", F.col("op_seq") + self._clock)
+        new = G.lemma_edges(sentences)
+        each = sentences.select("op_seq", F.posexplode("tokens").alias("tok_idx", "t")).where("t.lemma IS NOT NULL")
+        lemmas = each.select("t.lemma", (F.col("op_seq") * F.lit(1 << 20) + F.col("tok_idx")).alias("first_seen"))
         self._nodes = cut_lineage(G.merge_nodes(self._nodes, lemmas))
         self._edges = cut_lineage(G.merge_edges(self._edges, new))
         self._clock += count if count is not None else sentences.count()
@@ -123,7 +125,13 @@ class ConceptGraph:
         """One step; anchors that are no node are ignored."""
         self._check()
         given = self.spark.createDataFrame([(0, a) for a in sorted(set(anchors))], "query_id bigint, node_id bigint").join(self._nodes, "node_id", "left_semi").select("query_id", "node_id")
-        self._active = cut_lineage(A.spread_step(self._active, given, A.normalised(self.graph.edges)))
+        self._active = cut_lineage(A.spread_step(self._active, given, self._moves()))
+
+    def _moves(self) -> DataFrame:
+        """The transitions of the present graph, made once for all steps."""
+        if self._transitions is None or self._transitions[0] is not self.graph:
+            self._transitions = (self.graph, A.transitions(A.normalised(self.graph.edges)))
+        return self._transitions[1]
 
     def get_significant_nodes(self, compat: bool = False) -> list[dict]:
         self._check()

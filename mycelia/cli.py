@@ -22,19 +22,16 @@ def main(argv: list[str] | None = None) -> int:
         print(f"no such path: {args.path}", file=sys.stderr)
         return 1
 
-    from pyspark.sql import functions as F
-
     from mycelia.api import ConceptGraph
     from mycelia.operators.graph import build
     from mycelia.plans import store
-    from mycelia.sources.files import outcomes, parse, read_folder
+    from mycelia.sources.files import outcomes, parse, read_folder, sentences_in_order
 
     spark = local_session()
     if args.command == "ingest":
         files = read_folder(spark, args.path)
         elements = parse(files).persist()
-        rows = elements.where("type = 'text'").select(F.xxhash64("path", "content.text").alias("sent_id"), "content.tokens")
-        store.save(build(rows), args.store, os.path.basename(os.path.abspath(args.path)).replace(".", "_"))
+        store.save(build(sentences_in_order(elements)), args.store, store.new_module(spark, args.store, args.path))
         outcomes(files, elements).groupBy("status").count().show()
         return 0
     names = [r.module for r in store.modules(spark, args.store).collect()]

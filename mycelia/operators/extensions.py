@@ -3,41 +3,48 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mycelia.operators.graph import Graph
 from mycelia.session import cut_lineage
 
 FACT = ["src", "relation", "dst"]
 
 
-def closure(facts: DataFrame, transitive: list[str], inherited: list[tuple[str, str]] | None = None, symmetric: list[str] | None = None, rounds: int = 50) -> DataFrame:
+def closure(facts: DataFrame, transitive: list[str], inherited: list[tuple[str, str]] | None = None, symmetric: list[str] | None = None, within: list[str] | None = None) -> DataFrame:
     """``src, relation, dst, depth``: facts and all that follows from them, by rounds until nothing is new.
 
     ``transitive`` relations chain with themselves; ``(a, b)`` in ``inherited`` lets ``x a y`` and ``y b z`` give ``x b z``;
-    ``symmetric`` ones are turned round. Only facts new in the last round are joined (semi-naive), each keeps its least depth.
+    ``symmetric`` ones, given or derived, are turned round. Only facts new in the last round are joined (semi-naive), each keeps its least depth.
+    A cycle gives facts of a node with itself. ``within`` names columns that stay the same along a derivation (a source, a module) and are returned too.
     """
+    keys = [*(within or []), *FACT]
     rules = [(r, r) for r in transitive] + list(inherited or [])
-    base = facts.select(*FACT).where("src IS NOT NULL AND relation IS NOT NULL AND dst IS NOT NULL")
-    if symmetric:
-        base = base.unionByName(base.where(F.col("relation").isin(symmetric)).select(F.col("dst").alias("src"), "relation", F.col("src").alias("dst")))
+
+    def turned(df: DataFrame) -> DataFrame:
+        if not symmetric:
+            return df
+        back = df.where(F.col("relation").isin(symmetric)).select(*(within or []), F.col("dst").alias("src"), "relation", F.col("src").alias("dst"))
+        return df.unionByName(back)
+
+    base = turned(facts.select(*keys).where("src IS NOT NULL AND relation IS NOT NULL AND dst IS NOT NULL"))
     known = cut_lineage(base.distinct().withColumn("depth", F.lit(0)))
-    new = known
-    for k in range(1, rounds + 1):
+    new, k = known, 0
+    while rules:  # ends: there are finitely many facts over the nodes given, and every round adds one
+        k += 1
+        on = [*(within or []), "mid"]
         steps = []
         for first, second in rules:
-            left = lambda df, r=first: df.where(F.col("relation") == r).select("src", F.col("dst").alias("mid"))
-            right = lambda df, r=second: df.where(F.col("relation") == r).select(F.col("src").alias("mid"), "relation", "dst")
-            steps += [left(new).join(right(known), "mid"), left(known).join(right(new), "mid")]
-        if not steps:
-            break
-        derived = steps[0]
-        for s in steps[1:]:
-            derived = derived.unionByName(s)
-        new = cut_lineage(derived.select(*FACT).where("src <> dst").distinct().join(known, FACT, "left_anti").withColumn("depth", F.lit(k)))
+            left = lambda df, r=first: df.where(F.col("relation") == r).select(*(within or []), "src", F.col("dst").alias("mid"))
+            right = lambda df, r=second: df.where(F.col("relation") == r).select(*(within or []), F.col("src").alias("mid"), "relation", "dst")
+            steps += [left(new).join(right(known), on), left(known).join(right(new), on)]
+        derived = turned(reduce(DataFrame.unionByName, steps).select(*keys)).distinct()
+        new = cut_lineage(derived.join(known, keys, "left_anti").withColumn("depth", F.lit(k)))
         if new.isEmpty():
             break
         known = cut_lineage(known.unionByName(new))
@@ -45,12 +52,9 @@ def closure(facts: DataFrame, transitive: list[str], inherited: list[tuple[str,
 
 
 def emergence(facts: DataFrame, transitive: list[str]) -> DataFrame:
-    """``src, relation, dst`` that follow from all sources together but from none alone (``facts`` has ``source``)."""
-    names = [r.source for r in facts.select("source").distinct().orderBy("source").limit(100).collect()]
-    together = closure(facts, transitive).select(*FACT)
-    for name in names:
-        together = together.join(closure(facts.where(F.col("source") == name), transitive).select(*FACT), FACT, "left_anti")
-    return together
+    """``src, relation, dst`` that follow from all sources together but from none alone (``facts`` has ``source``), for any number of sources."""
+    alone = closure(facts.where("source IS NOT NULL"), transitive, within=["source"]).select(*FACT).distinct()
+    return closure(facts, transitive).select(*FACT).join(alone, FACT, "left_anti")
 
 
 def history(sightings: DataFrame, subject: list[str], value: str, at: str, order: str) -> DataFrame:
@@ -100,19 +104,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 204
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def levels(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """``node, level``: a learning order, every node after all it depends on (``src`` depends on ``dst``); nodes on cycles have none."""
+def levels(edges: DataFrame) -> DataFrame:
+    """``node, level``: a learning order, every node after all it depends on (``src`` depends on ``dst``); nodes on or behind cycles have none."""
     rest = cut_lineage(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct())
     todo = cut_lineage(edges.select(F.explode(F.array("src", "dst")).alias("node")).where("node IS NOT NULL").distinct())
-    done = None
-    for k in range(rounds):
+    done, k = todo.withColumn("level", F.lit(0)).limit(0), 0
+    while True:  # ends: every round takes nodes out
         free = cut_lineage(todo.join(rest.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(k)))
         if free.isEmpty():
-            break
-        done = free if done is None else done.unionByName(free)
+            return done
+        done = cut_lineage(done.unionByName(free))
         todo = cut_lineage(todo.join(free, "node", "left_anti"))
         rest = cut_lineage(rest.join(free.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    return done if done is not None else todo.withColumn("level", F.lit(0)).limit(0)
+        k += 1
 
 
 def relation_entropy(edges: DataFrame) -> DataFrame:
@@ -135,3 +139,22 @@ def routed(words: DataFrame, topic_words: DataFrame, k: int = 3) -> DataFrame:
     counted = met.groupBy("query_id", "topic").agg(F.count(F.lit(1)).alias("overlap"))
     w = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "topic")
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def corroborated(sightings: DataFrame, fact: list[str], source: str) -> DataFrame:
+    """``fact`` columns with ``sightings`` and ``sources``: how often a fact was seen and how many different sources bear it out (null ones do not)."""
+    per = sightings.groupBy(*fact, source).agg(F.count(F.lit(1)).alias("n"))  # folded per source first: a hub fact is a few rows when it is counted
+    return per.groupBy(*fact).agg(F.sum("n").alias("sightings"), F.count(source).alias("sources"))
+
+
+def quality(graph: Graph) -> DataFrame:
+    """One row on connectivity and consistency: ``nodes, edges``, ``isolated`` nodes without an edge, ``loops``, ``mutual`` pairs joined both ways, and ``dangling`` ends that are no node."""
+    ends = graph.edges.select(F.explode(F.array("src_id", "dst_id")).alias("node_id")).distinct()
+    both = graph.nodes.select("node_id", F.lit(True).alias("node")).join(ends.withColumn("end", F.lit(True)), "node_id", "full")
+    nodes = both.agg(F.count("node").alias("nodes"), F.count_if(F.col("end").isNull()).alias("isolated"), F.count_if(F.col("node").isNull()).alias("dangling"))
+    # a pair joined both ways meets itself under its ordered ends
+    pairs = graph.edges.groupBy(F.least("src_id", "dst_id").alias("a"), F.greatest("src_id", "dst_id").alias("b")).agg(F.count_distinct("src_id").alias("ways"), F.count(F.lit(1)).alias("n"))
+    edges = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.count_if(F.col("a") == F.col("b")).alias("loops"), F.count_if(F.col("ways") == 2).alias("mutual"))
+    columns = ["nodes", "edges", "isolated", "loops", "mutual", "dangling"]
+    parts = nodes.unionByName(edges, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in columns])

@@ -11,6 +11,7 @@ from mycelia.functions.conductance import STEP, with_conductance
 from mycelia.functions.dependency import label_to_code
 from mycelia.operators.numbering import dense_number
 from mycelia.plans.tables import once
+from mycelia.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -33,15 +34,15 @@ def exploded_tokens(rows: DataFrame) -> DataFrame:
     return each.select("sent_id", "tok_idx", "t.lemma", "t.dep", "t.head_offset", "n_tokens")
 
 
-def sightings(rows: DataFrame) -> DataFrame:
-    """``sent_id, tok_idx, src, dst, dep_type``: dependent and head lemma of every token whose head lies in its sentence.
+def sightings(rows: DataFrame, *carried: str) -> DataFrame:
+    """``sent_id, tok_idx, src, dst, dep_type`` and the ``carried`` columns: dependent and head lemma of every token whose head lies in its sentence.
 
     The head is looked up inside the sentence's own array, so no join is needed. A root (offset nought), a head
     outside the sentence and null lemmas give no sighting; a null offset counts as root.
     """
     head = F.get("tokens", F.col("tok_idx") + F.col("t.head_offset"))
-    each = rows.select("sent_id", "tokens", F.posexplode("tokens").alias("tok_idx", "t")).where("t.head_offset <> 0 AND tok_idx + t.head_offset >= 0")
-    return each.select("sent_id", "tok_idx", F.col("t.lemma").alias("src"), head["lemma"].alias("dst"), label_to_code(F.col("t.dep")).alias("dep_type")).where("src IS NOT NULL AND dst IS NOT NULL")
+    each = rows.select("sent_id", "tokens", *carried, F.posexplode("tokens").alias("tok_idx", "t")).where("t.head_offset <> 0 AND tok_idx + t.head_offset >= 0")
+    return each.select("sent_id", "tok_idx", *carried, F.col("t.lemma").alias("src"), head["lemma"].alias("dst"), label_to_code(F.col("t.dep")).alias("dep_type")).where("src IS NOT NULL AND dst IS NOT NULL")
 
 
 def clock(rows: DataFrame) -> DataFrame:
@@ -55,9 +56,19 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return dense_number(first.select("lemma", "at.sent_id", "at.tok_idx"), ["sent_id", "tok_idx"], "node_id").select("node_id", "lemma")
 
 
-def lemma_edges(rows: DataFrame, ticks: DataFrame) -> DataFrame:
-    """``src, dst, dep_type, repetitions, last_op, first_seen`` by lemma: sightings folded per edge before ids are known."""
-    seen = sightings(rows).join(ticks, "sent_id")
+def ticked(rows: DataFrame) -> DataFrame:
+    """``sent_id, tokens, op_seq``, written out: de-duplication and clock are done once for all that reads it. A repeated ``sent_id`` counts once."""
+    rows = rows.dropDuplicates(["sent_id"])
+    return cut_lineage(rows.join(clock(rows), "sent_id"))
+
+
+def lemma_edges(rows: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """``src, dst, dep_type, repetitions, last_op, first_seen`` by lemma: sightings folded per edge before ids are known.
+
+    ``rows`` carry their tick (``op_seq``) or meet it in ``ticks``, which has one row per ``sent_id``.
+    """
+    timed = rows if ticks is None else rows.join(ticks, "sent_id")
+    seen = sightings(timed, "op_seq")
     order = F.col("op_seq") * F.lit(1 << 20) + F.col("tok_idx")
     return seen.groupBy("src", "dst", "dep_type").agg(F.count(F.lit(1)).alias("repetitions"), F.max("op_seq").alias("last_op"), F.min(order).alias("first_seen"))
 
@@ -70,8 +81,9 @@ def with_ids(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def build(rows: DataFrame) -> Graph:
     """The graph of all sentences of ``rows`` (``sent_id, tokens``)."""
+    rows = ticked(rows)
     nodes = vocabulary(rows)
-    edges = with_conductance(with_ids(lemma_edges(rows, clock(rows)), nodes))
+    edges = with_conductance(with_ids(lemma_edges(rows), nodes))
     return Graph(nodes, edges.select("src_id", "dst_id", "dep_type", "repetitions", "conductance", "last_op", "first_seen"))
 
 
@@ -112,6 +124,13 @@ def stats(graph: Graph) -> DataFrame:
     return parts.unionAll(edges).agg(F.sum("node_count").alias("node_count"), F.sum("total_edge_count").alias("total_edge_count"))
 
 
+def build_stats(rows: DataFrame) -> DataFrame:
+    """:func:`stats` of the graph that ``rows`` would build, without building it: distinct lemmas and distinct edges are counted."""
+    lemmas = exploded_tokens(rows).where("lemma IS NOT NULL").select("lemma").distinct()
+    edges = sightings(rows).select("src", "dst", "dep_type").distinct()
+    return stats(Graph(lemmas, edges))
+
+
 def node_ids(lemmas: DataFrame, nodes: DataFrame) -> DataFrame:
     """``lemmas`` with ``node_id``; -1 where there is no such node."""
     return lemmas.join(nodes, "lemma", "left").withColumn("node_id", F.coalesce("node_id", F.lit(-1).cast("long")))

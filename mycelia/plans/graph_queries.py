@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mycelia.functions.dependency import code_to_label, label_to_code
-from mycelia.functions.text import STOP_WORDS, intent, not_blank, question_words
+from mycelia.functions.text import DEFAULT_INTENT, INTENTS, STOP_WORDS, intent, not_blank, question_words
 from mycelia.operators import activation as A
 from mycelia.operators import answers as Q
+from mycelia.operators import extensions as X
 from mycelia.operators import graph as G
 from mycelia.plans.tables import once, table
 
@@ -89,7 +90,7 @@ def edge_upsert(spark, d):
 
 
 def graph_stats(spark, d):
-    return G.stats(_built(spark, d))
+    return G.build_stats(_sentences(spark, d))
 
 
 def out_degree(spark, d):
@@ -98,10 +99,9 @@ def out_degree(spark, d):
 
 def graph_merge_incremental(spark, d):
     """Two batches of sentences built apart and merged; the ticks of the second follow those of the first."""
-    rows = _sentences(spark, d)
-    ticks = G.clock(rows)
+    rows = G.ticked(_sentences(spark, d))
     odd = F.col("op_seq") % 2 == 1
-    first, second = (G.lemma_edges(rows.join(ticks.where(c), "sent_id", "left_semi"), ticks.where(c)) for c in (odd, ~odd))
+    first, second = (G.lemma_edges(rows.where(c)) for c in (odd, ~odd))
     return G.merge_edges(first, second).select("src", "dst", "dep_type", "repetitions", "last_op")
 
 
@@ -167,6 +167,50 @@ def induced_subgraph(spark, d):
     return _rounded(A.subgraph(A.significant(active), graph.edges).drop("rn", "first_seen"), "conductance", 9)
 
 
+def induced_subgraph_compat(spark, d):
+    """The compatible subgraph of every 20th question: an edge is emitted once per place of its source, here with the number of places."""
+    graph = _stored(spark, d)
+    asked = _asked(spark, d).where("query_id % 20 = 0")
+    padded = A.significant_padded(A.spread(Q.question_anchors(asked, graph), A.normalised(graph.edges), STEPS))
+    places = padded.groupBy("query_id", "node_id").agg(F.count(F.lit(1)).cast("int").alias("rn"))  # equal places are counted before they are joined
+    return A.subgraph(places, graph.edges).select("query_id", "from_id", "to_id", "dep_type", F.col("rn").alias("places"))
+
+
+def capped_edges(spark, d):
+    active, graph = _spread(spark, d)
+    return _rounded(A.capped(A.subgraph(A.significant(active), graph.edges), 10).drop("rn", "first_seen"), "conductance", 9)
+
+
+def merge_nodes(spark, d):
+    """The nodes of the odd sentences, then those the even ones add, numbered on."""
+    rows = G.ticked(_sentences(spark, d))
+    each = rows.where("op_seq % 2 = 0").select("op_seq", F.posexplode("tokens").alias("tok_idx", "t")).where("t.lemma IS NOT NULL")
+    lemmas = each.select("t.lemma", (F.col("op_seq") * F.lit(1 << 20) + F.col("tok_idx")).alias("first_seen"))
+    return G.merge_nodes(G.vocabulary(rows.where("op_seq % 2 = 1")), lemmas)
+
+
+def element_types(spark, d):
+    rows = once(table(spark, d, "sentence_data").select("rec_id", "elem_type", (F.col("elem_type") == "text").alias("kept")), "rec_id")
+    return rows.groupBy("elem_type", "kept").agg(F.count(F.lit(1)).alias("n"))
+
+
+def anchor_dedup(spark, d):
+    """Words of a question that name a node, and the distinct anchors they give."""
+    graph, asked = _stored(spark, d), _asked(spark, d)
+    words = asked.select("query_id", F.explode(F.split(F.lower("query"), "[^\\p{L}\\p{M}\\p{N}’'-]+")).alias("lemma")).join(graph.nodes, "lemma")
+    return words.groupBy("query_id").agg(F.count(F.lit(1)).alias("words"), F.count_distinct("node_id").alias("anchors"))
+
+
+def fact_corroboration(spark, d):
+    """How many drop folders bear a fact out."""
+    rows = once(table(spark, d, "sentence_data").where("elem_type = 'text' AND size(tokens) > 0").select(F.col("rec_id").alias("sent_id"), "tokens", "source"), "sent_id")
+    return X.corroborated(G.sightings(rows, "source"), ["src", "dst", "dep_type"], "source")
+
+
+def graph_quality(spark, d):
+    return X.quality(_stored(spark, d))
+
+
 def render_context(spark, d):
     active, graph = _spread(spark, d)
     kept = A.significant(active)
@@ -182,12 +226,17 @@ QUERIES = {
     for f in (
         tokens, blank_text_filter, ingest_status, dep_codes, dep_labels, head_status, child_head_join, sentence_clock, node_vocabulary, edge_upsert,
         graph_stats, out_degree, graph_merge_incremental, stored_edges, edge_weight_share, lemma_lookup, id_lookup, intent_classify, anchor_resolution,
-        spread_step_1, spread_3, spread_2_bidirectional, active_nodes, significant_nodes, significant_nodes_compat, top_k_activated, induced_subgraph,
+        merge_nodes, element_types, anchor_dedup, fact_corroboration, graph_quality, induced_subgraph_compat, capped_edges, spread_step_1, spread_3, spread_2_bidirectional, active_nodes, significant_nodes, significant_nodes_compat, top_k_activated, induced_subgraph,
         render_context, render_answer,
     )
 }
 
 # -- SQL -------------------------------------------------------------------------------------------
+def _quoted(text: str) -> str:
+    """A text as an SQL literal; line ends as expressions."""
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in text.split("\n"))
+
+
 _G = "list_reduce(list_transform(range({n}), lambda x: 0.1::DOUBLE), lambda g, i: g + 0.1::DOUBLE / (1 + g))"
 _S = """s AS (SELECT rec_id AS sent_id, first(tokens) AS tokens FROM sentence_data
   WHERE elem_type = 'text' AND len(tokens) > 0 AND rec_id IS NOT NULL GROUP BY 1),
@@ -249,13 +298,9 @@ _LINES = f"""{_CUT}, {_SUB.format(src="sn")},
 ls AS (SELECT query_id, string_agg(coalesce(lemma, 'unknown'), ', ' ORDER BY rn) AS concepts FROM sn LEFT JOIN n USING (node_id) GROUP BY 1),
 ln AS (SELECT query_id, string_agg('- ''' || coalesce(a.lemma, 'unknown') || ''' --(' || coalesce(dep_name, 'UNKNOWN') || ', strength:' || printf('%.2f', conductance) || ')--> ''' || coalesce(b.lemma, 'unknown') || '''' || chr(10), '' ORDER BY rn, first_seen) AS lines
   FROM sub LEFT JOIN n a ON a.node_id = from_id LEFT JOIN n b ON b.node_id = to_id LEFT JOIN dep_label ON dep_code = dep_type GROUP BY 1),
-cx AS (SELECT query_id, CASE WHEN lines IS NOT NULL THEN 'key concepts and their relations:' || chr(10) || lines ELSE 'key concepts: ' || concepts END AS context
+cx AS (SELECT query_id, CASE WHEN lines IS NOT NULL THEN {_quoted(Q.RELATIONS_HEAD)} || lines ELSE {_quoted(Q.CONCEPTS_HEAD)} || concepts END AS context
   FROM ls LEFT JOIN ln USING (query_id))"""
-_INTENT = """CASE WHEN starts_with(lower(query), 'почему') OR starts_with(lower(query), 'причина') OR starts_with(lower(query), 'следствие') THEN 'causal'
- WHEN starts_with(lower(query), 'как') OR starts_with(lower(query), 'способ') OR starts_with(lower(query), 'инструкция') THEN 'procedural'
- WHEN starts_with(lower(query), 'что такое') OR starts_with(lower(query), 'кто такой') OR starts_with(lower(query), 'определение') THEN 'definitional'
- WHEN starts_with(lower(query), 'кто') OR starts_with(lower(query), 'что') OR starts_with(lower(query), 'где') OR starts_with(lower(query), 'когда') OR starts_with(lower(query), 'какой') THEN 'factual'
- ELSE 'definitional' END"""
+_INTENT = "CASE " + " ".join(f"WHEN {' OR '.join(f'starts_with(lower(query), {_quoted(o)})' for o in openings)} THEN '{name}'" for name, openings in INTENTS) + f" ELSE '{DEFAULT_INTENT}' END"
 
 SQL = {
     "tokens": f"WITH {_S} SELECT sent_id, tok_idx, t.lemma AS lemma, t.dep AS dep, t.head_offset AS head_offset FROM t",
@@ -288,10 +333,24 @@ SELECT dep_type, coalesce(dep_name, 'UNKNOWN') AS label, count(*) AS n FROM x LE
     "significant_nodes_compat": f"WITH {_PADDED} SELECT query_id, node_id, activation, rn::INT AS rn FROM sp",
     "top_k_activated": f"WITH {_CUT} SELECT query_id, node_id, a AS activation, rn::INT AS rn FROM rk WHERE rn <= 5",
     "induced_subgraph": f"WITH {_CUT}, {_SUB.format(src='sn')} SELECT query_id, from_id, to_id, dep_type, round(conductance, 9) AS conductance FROM sub",
+    "induced_subgraph_compat": f"""WITH {_PADDED.replace("FROM q)", "FROM q WHERE query_id % 20 = 0)")}, pl AS (SELECT query_id, node_id, count(*)::INT AS places FROM sp GROUP BY 1, 2)
+SELECT x.query_id, src_id AS from_id, dst_id AS to_id, dep_type, x.places AS places FROM e JOIN pl x ON x.node_id = src_id JOIN pl y ON y.query_id = x.query_id AND y.node_id = dst_id""",
+    "capped_edges": f"""WITH {_CUT}, {_SUB.format(src="sn")}, ck AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rn, first_seen) AS k FROM sub)
+SELECT query_id, from_id, to_id, dep_type, round(conductance, 9) AS conductance FROM ck WHERE k <= 10""",
+    "merge_nodes": f"""WITH {_SIGHT}, o AS (SELECT t.lemma AS lemma, min((sent_id, tok_idx)) AS first_at FROM t JOIN clk USING (sent_id) WHERE op_seq % 2 = 1 AND t.lemma IS NOT NULL GROUP BY 1),
+w AS (SELECT t.lemma AS lemma, min((op_seq, tok_idx)) AS first_at FROM t JOIN clk USING (sent_id) WHERE op_seq % 2 = 0 AND t.lemma IS NOT NULL AND t.lemma NOT IN (SELECT lemma FROM o) GROUP BY 1)
+SELECT row_number() OVER (ORDER BY first_at) - 1 AS node_id, lemma FROM o UNION ALL SELECT (SELECT count(*) FROM o) + row_number() OVER (ORDER BY first_at) - 1, lemma FROM w""",
+    "element_types": """WITH r AS (SELECT rec_id, first(elem_type) AS elem_type FROM sentence_data WHERE rec_id IS NOT NULL GROUP BY 1)
+SELECT elem_type, elem_type = 'text' AS kept, count(*) AS n FROM r GROUP BY 1, 2""",
+    "anchor_dedup": f"WITH {_STORED}, {_ASKED} SELECT query_id, count(*) AS words, count(DISTINCT node_id) AS anchors FROM w0 JOIN n USING (lemma) GROUP BY 1",
+    "fact_corroboration": f"""WITH {_SIGHT}, src AS (SELECT rec_id AS sent_id, first(source) AS source FROM sentence_data WHERE elem_type = 'text' AND len(tokens) > 0 AND rec_id IS NOT NULL GROUP BY 1)
+SELECT src, dst, dep_type, count(*) AS sightings, count(DISTINCT source) AS sources FROM sg JOIN src USING (sent_id) GROUP BY 1, 2, 3""",
+    "graph_quality": f"""WITH {_STORED}, ends AS (SELECT src_id AS node_id FROM e UNION SELECT dst_id FROM e), pairs AS (SELECT DISTINCT src_id, dst_id FROM e)
+SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM n ANTI JOIN ends USING (node_id)) AS isolated,
+ (SELECT count(*) FROM pairs WHERE src_id = dst_id) AS loops, (SELECT count(*) FROM pairs a JOIN pairs b ON a.src_id = b.dst_id AND a.dst_id = b.src_id WHERE a.src_id < a.dst_id) AS mutual,
+ (SELECT count(*) FROM ends ANTI JOIN n USING (node_id)) AS dangling""",
     "render_context": f"WITH {_LINES} SELECT * FROM cx",
     "render_answer": f"""WITH {_LINES} SELECT query_id, query, {_INTENT} AS intent,
- CASE WHEN context IS NULL THEN 'i could not find relevant information.' ELSE
- 'based on the following structured knowledge, answer the user''s query.' || chr(10) || 'do not use any external knowledge.' || chr(10) || chr(10) || '=== knowledge graph context ===' || chr(10) || context
- || chr(10) || '=== user query ===' || chr(10) || '''' || query || '''' || chr(10) || chr(10) || 'answer:' END AS answer
+ CASE WHEN context IS NULL THEN {_quoted(Q.NOTHING_FOUND)} ELSE {_quoted(Q.INSTRUCTION + Q.CONTEXT_HEAD)} || context || {_quoted(chr(10) + Q.QUERY_HEAD + "'")} || query || {_quoted("'" + chr(10) * 2 + Q.ANSWER_TAIL)} END AS answer
 FROM q LEFT JOIN cx USING (query_id)""",
 }

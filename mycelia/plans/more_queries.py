@@ -34,6 +34,12 @@ def files_without_record(spark, d):
     return paths.join(table(spark, d, "sentence_data").select("file_path").distinct(), "file_path", "left_anti")
 
 
+def page_text_extract(spark, d):
+    pages = table(spark, d, "documents").where("lower(file_path) LIKE '%.html' AND text IS NOT NULL")
+    page = F.concat(F.lit("<html><style>p {}</style><h1>Note</h1><p>"), "text", F.lit("</p><script>x()</script></html>"))
+    return pages.select("doc_id", files.html_text(page).alias("text"))
+
+
 def built_in_tokens(spark, d):
     text = table(spark, d, "documents").select("doc_id", F.explode(files.built_in_sentences(F.col("text"))).alias("s"))
     return text.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.size("s.tokens")).alias("tokens"))
@@ -77,7 +83,7 @@ def topic_route(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (reader_dispatch, archive_state, files_without_record, built_in_tokens, rule_closure, emergent_facts, edge_history, vector_recall, learning_levels, graph_entropy, canonical_nodes, topic_route)
+    for f in (reader_dispatch, archive_state, files_without_record, page_text_extract, built_in_tokens, rule_closure, emergent_facts, edge_history, vector_recall, learning_levels, graph_entropy, canonical_nodes, topic_route)
 }
 
 SQL = {
@@ -91,14 +97,20 @@ k AS (SELECT doc_id, len(list_filter(regexp_split_to_array(s, '[ ,;:\\t\\r]+'),
 SELECT doc_id, count(*) AS sentences, sum(n)::BIGINT AS tokens FROM k GROUP BY 1""",
     "rule_closure": f"""WITH RECURSIVE f AS ({FACTS}), c(src, relation, dst, depth) AS (SELECT DISTINCT src, relation, dst, 0 FROM f
  UNION SELECT c.src, c.relation, f.dst, depth + 1 FROM c JOIN f ON f.src = c.dst) SELECT src, relation, dst, min(depth)::INT AS depth FROM c GROUP BY 1, 2, 3""",
-    "emergent_facts": f"""WITH f AS ({FACTS}) SELECT DISTINCT a.src, a.relation, b.dst FROM f a JOIN f b ON a.dst = b.src WHERE a.source <> b.source""",
+    "emergent_facts": f"""WITH RECURSIVE f AS ({FACTS}), c(src, relation, dst) AS (SELECT src, relation, dst FROM f UNION SELECT c.src, c.relation, f.dst FROM c JOIN f ON f.src = c.dst),
+o(src, relation, dst, source) AS (SELECT src, relation, dst, source FROM f UNION SELECT o.src, o.relation, f.dst, o.source FROM o JOIN f ON f.src = o.dst AND f.source = o.source)
+SELECT src, relation, dst FROM c EXCEPT SELECT src, relation, dst FROM o""",
     "edge_history": """WITH e AS (SELECT DISTINCT edge_id, from_node_id, coalesce(dep_type, 0) AS dep_type, to_node_id, seen_at FROM graph_edge WHERE to_node_id >= 0 AND edge_id IS NOT NULL),
 c AS (SELECT *, lag(to_node_id) OVER w AS p FROM e WINDOW w AS (PARTITION BY from_node_id, dep_type ORDER BY seen_at, edge_id))
 SELECT from_node_id, dep_type, to_node_id, seen_at AS valid_from, lead(seen_at) OVER (PARTITION BY from_node_id, dep_type ORDER BY seen_at, edge_id) AS valid_to FROM c WHERE p IS NULL OR p <> to_node_id""",
     "vector_recall": """WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, r.vec_id, round(list_cosine_similarity(q.v, r.v), 6) AS score
  FROM x q, x r WHERE q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, score, rank::INT AS rank FROM k WHERE rank <= 5""",
-    "learning_levels": f"""WITH f AS ({FACTS}) SELECT DISTINCT node, CASE left(node, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 ELSE 2 END AS level FROM (SELECT src AS node FROM f UNION SELECT dst FROM f)""",
+    "learning_levels": f"""WITH RECURSIVE f AS ({FACTS}), l(node, level) AS (SELECT DISTINCT dst, 0 FROM f WHERE dst NOT IN (SELECT src FROM f) UNION SELECT f.src, level + 1 FROM l JOIN f ON f.dst = node)
+SELECT node, max(level)::INT AS level FROM l GROUP BY 1""",
+    "page_text_extract": """WITH p AS (SELECT doc_id, '<html><style>p {}</style><h1>Note</h1><p>' || text || '</p><script>x()</script></html>' AS h FROM documents WHERE lower(file_path) LIKE '%.html' AND text IS NOT NULL)
+SELECT doc_id, replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'),
+ '(?i)<(?:br|/p|/div|/h[1-6]|/li|/tr)\\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS text FROM p""",
     "graph_entropy": f"""WITH {_STORED}, p AS (SELECT dep_type, count(*) AS n FROM e GROUP BY 1) SELECT count(*) AS relations, round(-sum(n / t * ln(n / t)), 9) AS entropy FROM p, (SELECT sum(n)::DOUBLE AS t FROM p)""",
     "canonical_nodes": "WITH n AS (SELECT node_id, first(lemma) AS lemma FROM graph_node WHERE node_id IS NOT NULL GROUP BY 1) SELECT node_id, min(node_id) OVER (PARTITION BY lower(lemma)) AS canonical_id FROM n WHERE lemma IS NOT NULL",
     "topic_route": f"""WITH {_ASKED}, tw AS (SELECT DISTINCT source AS topic, t.lemma AS lemma FROM (SELECT source, unnest(tokens) AS t FROM sentence_data WHERE elem_type = 'text' AND source IS NOT NULL)),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,17 @@ def save(graph: Graph, folder: str, module: str) -> None:
     edges.write.mode("overwrite").parquet(f"{folder}/edges/module={module}")
 
 
+def new_module(spark: SparkSession, folder: str, path: str) -> str:
+    """A name for what is ingested from ``path`` now: told by the whole path, and by its turn if it was ingested before, so that nothing is replaced."""
+    whole = os.path.abspath(path)
+    name = re.sub(r"\W", "_", os.path.basename(whole)) + "_" + hashlib.sha256(whole.encode()).hexdigest()[:8]
+    try:
+        taken = sum(r.module.rpartition("-")[0] == name for r in modules(spark, folder).collect())
+    except AnalysisException:  # nothing stored yet
+        taken = 0
+    return f"{name}-{taken + 1}"
+
+
 def modules(spark: SparkSession, folder: str) -> DataFrame:
     """``module, edges`` of what is stored."""
     return spark.read.parquet(f"{folder}/edges").groupBy("module").agg(F.count(F.lit(1)).alias("edges"))

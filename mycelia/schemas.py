@@ -6,10 +6,4 @@ from pyspark.sql import types as T
 
 TOKEN = T.StructType([T.StructField("lemma", T.StringType()), T.StructField("dep", T.StringType()), T.StructField("head_offset", T.IntegerType())])
 SENTENCE = T.StructType([T.StructField("text", T.StringType()), T.StructField("tokens", T.ArrayType(TOKEN))])
-ELEMENT = T.StructType([T.StructField("type", T.StringType()), T.StructField("content", SENTENCE), T.StructField("path", T.StringType())])
 
-TOKENS = "sent_id bigint, tok_idx int, lemma string, dep string, head_offset int, n_tokens int"
-NODES = "node_id bigint, lemma string"
-EDGES = "src_id bigint, dst_id bigint, dep_type int, repetitions bigint, conductance double, last_op bigint, first_seen bigint"
-ACTIVATIONS = "query_id bigint, node_id bigint, activation double"
-ANSWERS = "query_id bigint, query string, intent string, answer string"

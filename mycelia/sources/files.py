@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mycelia.functions.text import not_blank, suffix
+from mycelia.operators.numbering import dense_number
 from mycelia.schemas import SENTENCE
 
 #: Which reader takes a suffix; everything else is read as plain text. Fixed values.
@@ -69,7 +70,7 @@ def built_in_sentences(text: Column) -> Column:
 
 
 def parse(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
-    """``path, type, content, error``: the sentences of every file, one element each.
+    """``path, position, type, content, error``: the sentences of every file, one element each, by their place in it from 0.
 
     ``readers`` maps a reader's name to a function from bytes to text, run once per batch in Python; without one, text and
     pages are read by expressions and a ``pdf`` is an error. A file that cannot be read gives one row of type ``error``; a blank one none.
@@ -95,9 +96,15 @@ def parse(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataFra
         text = F.when(name == "html", html_text(raw)).when(name == "auto", raw)
         error = F.when(name == "pdf", "no reader for pdf").when(raw.isNull(), "not valid UTF-8")
         texts = files.select("path", text.alias("text"), error.alias("error"))
-    good = texts.where(F.col("error").isNull() & not_blank(F.col("text"))).select("path", F.explode(built_in_sentences(F.col("text"))).alias("content"))
-    bad = texts.where(F.col("error").isNotNull()).select("path", F.lit("error").alias("type"), F.lit(None).cast(SENTENCE).alias("content"), "error")
-    return good.select("path", F.lit("text").alias("type"), F.col("content").cast(SENTENCE).alias("content"), F.lit(None).cast("string").alias("error")).unionByName(bad)
+    good = texts.where(F.col("error").isNull() & not_blank(F.col("text"))).select("path", F.posexplode(built_in_sentences(F.col("text"))).alias("position", "content"))
+    bad = texts.where(F.col("error").isNotNull()).select("path", F.lit(0).alias("position"), F.lit("error").alias("type"), F.lit(None).cast(SENTENCE).alias("content"), "error")
+    return good.select("path", "position", F.lit("text").alias("type"), F.col("content").cast(SENTENCE).alias("content"), F.lit(None).cast("string").alias("error")).unionByName(bad)
+
+
+def sentences_in_order(elements: DataFrame) -> DataFrame:
+    """``sent_id, tokens``: the sentences of parsed files, numbered from 1 by path and place. A sentence that occurs twice is two sentences."""
+    rows = elements.where("type = 'text'").select("path", "position", F.col("content.tokens").alias("tokens"))
+    return dense_number(rows, ["path", "position"], "sent_id", start=1).select("sent_id", "tokens")
 
 
 def outcomes(files: DataFrame, elements: DataFrame) -> DataFrame:

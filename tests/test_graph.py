@@ -69,7 +69,10 @@ def test_conductance(spark):
     assert g[0] is None
     for n, want in {1: 0.1, 2: 0.19090909090909092, 3: 0.2748785565579459, 4: 0.3533174003878953, 5: 0.42720989594831404, 100: 3.5994656829473657}.items():
         assert g[n] == want
-    assert g[2049] == counts.where("repetitions = 2049").select(folded(F.col("repetitions"))).first()[0] and g[5000] > g[2049]
+    exact = {r.repetitions: r.g for r in counts.select("repetitions", folded(F.col("repetitions")).alias("g")).collect()}
+    assert all(abs(g[n] - exact[n]) < 1e-6 for n in (2049, 5000))
+    huge = with_conductance(spark.createDataFrame([(10**9,), (10**12,)], "repetitions bigint")).collect()
+    assert [round(r.conductance / (0.2 * r.repetitions) ** 0.5, 3) for r in huge] == [1.0, 1.0]
 
 
 @pytest.mark.parametrize("given, want, kept", [([0], {0: 1, 1: 1.3023256, 2: 0.4476744, 3: 3}, [3]), ([0, 4], {0: 2.75, 1: 2.7906977, 2: 0.9593023, 3: 4, 4: 1}, [3, 1, 0])])
@@ -100,6 +103,30 @@ def test_cut_edge_cases(spark):
     assert A.significant(active.limit(0)).count() == 0
 
 
+def test_the_cut_does_not_depend_on_the_ranges(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(q, n, rng.choice([0.1, 0.2, 0.2, 0.5, rng.random()])) for q in range(3) for n in range(400 if q else 1500)]
+    active = spark.createDataFrame(rows, "query_id bigint, node_id bigint, activation double").repartition(7)
+    got = {}
+    for r in A.significant(active).collect():
+        got.setdefault(r.query_id, []).append((r.rn, r.node_id))
+    for q in range(3):
+        ranked = sorted((-round(a, 9), n) for k, n, a in rows if k == q)
+        gaps = [round(ranked[i + 1][0] - ranked[i][0], 9) for i in range(len(ranked) - 1)]
+        cut = gaps.index(max(gaps)) + 1
+        assert sorted(got[q]) == [(i + 1, n) for i, (_, n) in enumerate(ranked[:cut])]
+
+
+def test_the_plan_of_a_step_does_not_grow(spark):
+    g = branching(spark)
+    anchors = spark.createDataFrame([(7, 0)], "query_id bigint, node_id bigint")
+    weights = A.normalised(g.edges)
+    sizes = [A.spread(anchors, weights, k)._jdf.queryExecution().optimizedPlan().toString().count("\n") for k in (2, 3, 6)]
+    assert len(set(sizes)) == 1
+
+
 def test_prompts(spark):
     g = ConceptGraph(spark)
     g.ingest_sentences([[tok("мальчик", "nsubj", 1), tok("спать", "ROOT", 0)], [tok("уставший", "amod", 1), tok("мальчик", "ROOT", 0)]])
