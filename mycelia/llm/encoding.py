@@ -360,9 +360,16 @@ def repairer(samples: tuple[str, ...]) -> Repairer:
     return Repairer(list(samples))
 
 
-def sample_sentences(lang_sample: DataFrame) -> tuple[str, ...]:
-    """The clean sentences that travel with the tasks: at most 5,000, a bound far above the fixed table's 600."""
-    return tuple(r.text for r in lang_sample.where("text IS NOT NULL").orderBy("sample_id").limit(5000).collect())
+#: Clean sentences that travel with the tasks at most; a table of samples is small and fixed, and each one adds trigrams.
+SAMPLE_ROWS = 5_000
+
+
+def sample_sentences(lang_sample: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[str, ...]:
+    """The clean sentences by which garbled words are told, in the order of their ids; a longer table is an error, not cut."""
+    rows = lang_sample.where("text IS NOT NULL").orderBy("sample_id").limit(sample_rows + 1).collect()
+    if len(rows) > sample_rows:
+        raise ValueError(f"more than {sample_rows} sample sentences")
+    return tuple(r.text for r in rows)
 
 
 def repaired_records(sentence_data: DataFrame, samples: tuple[str, ...]) -> DataFrame:
@@ -371,7 +378,6 @@ def repaired_records(sentence_data: DataFrame, samples: tuple[str, ...]) -> Data
     ``text`` and ``lemmas`` are turned back as far as possible; the states are null where nothing is garbled.
     """
 
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fix = repairer(samples).repair
         seen: dict[str, tuple] = {}
