@@ -67,29 +67,47 @@ def heavy_items(lists: DataFrame) -> list[str]:
     return [r.item for r in rows.collect()]
 
 
-def item_counts(lists: DataFrame, heavy: list[str]) -> DataFrame:
-    """``item, occurrences, records`` of all items of ``lists`` (one column of string arrays, one row per record)."""
+def heavy_counts(lists: DataFrame, heavy: list[str]) -> DataFrame:
+    """``item, occurrences, records`` of the heavy items, by two local arrays a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = pa.array(heavy, pa.string())
         local = np.zeros((2, len(heavy)), np.int64)
-        names = ["item", "heavy", "occurrences", "records"]
         for batch in batches:
             items, occurrences, records = _counts(batch.column(0))
             at = np.asarray(pc.fill_null(pc.index_in(items.cast(pa.string()), index), -1))
             hit = at >= 0
             local[0, at[hit]] += occurrences[hit]
             local[1, at[hit]] += records[hit]
-            light = items.filter(pa.array(~hit))
-            yield pa.RecordBatch.from_arrays([light.cast(pa.string()), pa.array(np.zeros(len(light), bool)), pa.array(occurrences[~hit]), pa.array(records[~hit])], names=names)
         seen = local[0] > 0
-        yield pa.RecordBatch.from_arrays([index.filter(pa.array(seen)), pa.array(np.ones(int(seen.sum()), bool)), pa.array(local[0, seen]), pa.array(local[1, seen])], names=names)
+        yield pa.RecordBatch.from_arrays([index.filter(pa.array(seen)), pa.array(local[0, seen]), pa.array(local[1, seen])], names=["item", "occurrences", "records"])
+
+    return _summed(lists.mapInArrow(count, "item string, occurrences bigint, records bigint"))
+
+
+def light_counts(lists: DataFrame, heavy: list[str]) -> DataFrame:
+    """The same of all other items, counted per batch and shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = pa.array(heavy, pa.string())
+        for batch in batches:
+            items, occurrences, records = _counts(batch.column(0))
+            light = pc.invert(pc.is_in(items.cast(pa.string()), index))
+            keep = np.asarray(light)
+            yield pa.RecordBatch.from_arrays([items.filter(light).cast(pa.string()), pa.array(occurrences[keep]), pa.array(records[keep])], names=["item", "occurrences", "records"])
+
+    return _summed(lists.mapInArrow(count, "item string, occurrences bigint, records bigint"))
+
 
-    parts = lists.mapInArrow(count, "item string, heavy boolean, occurrences bigint, records bigint")
-    # heavy and light rows never share an item; one exchange takes both count tables
+def _summed(parts: DataFrame) -> DataFrame:
     return parts.groupBy("item").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
+def item_counts(lists: DataFrame, heavy: list[str]) -> DataFrame:
+    """``item, occurrences, records`` of all items of ``lists`` (one column of string arrays, one row per record): both count tables united."""
+    return heavy_counts(lists, heavy).unionAll(light_counts(lists, heavy))
+
+
 def marked(counts: DataFrame, total: int, rare_below: int = 3, common_above: float = 0.05) -> DataFrame:
     """``counts`` with ``mark``: ``rare`` below so many records, ``common`` above that share of ``total`` records, else null.
 
