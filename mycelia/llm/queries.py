@@ -18,6 +18,7 @@ QUERIES = {
     "p7_found": lambda spark, d: frequency.marked_items(table(spark, d, "sentence_data"), table(spark, d, "graph_edge")),
     "p7_counts": lambda spark, d: frequency.all_counts(table(spark, d, "sentence_data"), table(spark, d, "graph_edge")),
     "p8_ids": lambda spark, d: tokenizer.encode_column(table(spark, d, "documents")),
+    "p8_round_trip": lambda spark, d: tokenizer.round_trip(table(spark, d, "documents")),
     "p9_windows": lambda spark, d: packing.packed_windows(table(spark, d, "documents"), table(spark, d, "prompt_window")),
     "p9_fill": lambda spark, d: packing.window_fill(packing.packed_windows(table(spark, d, "documents"), table(spark, d, "prompt_window"))),
     "p10_found": lambda spark, d: residue.residue_documents(table(spark, d, "documents")),

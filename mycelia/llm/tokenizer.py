@@ -1,11 +1,11 @@
 """Corpus encoding with a public byte-level BPE, pre-tokenised without a regular expression.
 
 A whole Arrow batch is one array of code points. Each code point has a class (letter, number, white
-space, other); the splitter is an automaton whose transition functions are either "hold" (stay in the
-current piece) or "reset" (a piece starts here). Such functions compose associatively, so piece
-starts and run starts come from prefix scans (``maximum.accumulate``) over the batch instead of a
-loop over text. The slices are dictionary-encoded once per batch and only unseen ones are merged; a
-per-worker cache keeps their ids. Offsets of every piece are retained, so ids decode to the exact text.
+space, other) and, from its class and its neighbours', a transition function of the splitter: "reset" (a piece starts here) or
+"hold" (stay in the piece at hand). Such functions compose associatively, so the piece every code point is in comes from a prefix scan
+(:func:`scan`) over the batch instead of a loop over text; a first scan finds the runs of one class, a second one the pieces. The
+slices are dictionary-encoded once per batch and only unseen ones are merged; a per-worker cache keeps their ids. The offsets of
+the pieces are retained (:meth:`Encoder.pieces`), and ids decode to the exact text (:func:`decode_column`).
 
 Defined results: a null or empty text has the empty list of ids. Special-token strings inside a text are
 ordinary text. Texts that are not valid Unicode cannot reach the operator (Spark strings are UTF-8).
@@ -52,6 +52,11 @@ def class_table() -> np.ndarray:
     return table
 
 
+def scan(reset: np.ndarray) -> np.ndarray:
+    """The prefix scan of reset/hold functions: for every place the last place at or before it that resets. ``reset[0]`` must be true."""
+    return np.maximum.accumulate(np.where(reset, np.arange(len(reset), dtype=np.int64), -1))
+
+
 def piece_starts(cp: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     """Indices in ``cp`` (the code points of all texts, one after another) at which pieces begin.
 
@@ -66,6 +71,7 @@ def piece_starts(cp: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     first[n] = True
     change = first[:n].copy()
     change[1:] |= kind[1:] != kind[:-1]
+    run = scan(change)  # where the run of one class begins that a code point is in
     start = change.copy()
     # the last white space before a non-space of the same text leaves its run; a plain blank joins what follows
     followed = np.zeros(n, bool)
@@ -75,7 +81,8 @@ def piece_starts(cp: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     joined[1:] = followed[:-1] & (cp[:-1] == 0x20)
     start &= ~joined
     # contractions: an apostrophe that begins its run, then s d m t or ll ve re; what follows begins anew
-    quote = np.flatnonzero((cp == 0x27) & change & start)
+    quote = np.flatnonzero((cp == 0x27) & start)
+    quote = quote[run[quote] == quote]
     quote = quote[quote + 1 < n]
     quote = quote[~first[quote + 1]]
     if len(quote):
@@ -86,7 +93,8 @@ def piece_starts(cp: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
         start[quote[one | two] + 1] = False
         after = np.concatenate([quote[one] + 2, quote[two & ~one] + 3])
         start[after[after < n]] = True
-    return np.flatnonzero(start)
+    piece = scan(start)
+    return np.flatnonzero(piece == np.arange(n))
 
 
 @lru_cache(maxsize=4)
@@ -105,13 +113,13 @@ class Encoder:
     """Encodes Arrow string arrays; one per worker process and vocabulary."""
 
     def __init__(self, name: str, folder: str = VOCABULARIES):
-        self._merge = _encoder(name, folder)._core_bpe.encode_single_piece
+        self._encoding = _encoder(name, folder)
         self._cache: dict[bytes, np.ndarray] = {}
 
     def _ids(self, piece: bytes) -> np.ndarray:
         ids = self._cache.get(piece)
         if ids is None:
-            ids = np.array(self._merge(piece), np.int32)
+            ids = np.array(self._encoding.encode_ordinary(piece.decode("utf-8")), np.int32)
             if len(piece) <= 64 and len(self._cache) < CACHE_PIECES:
                 self._cache[piece] = ids
         return ids
@@ -157,6 +165,10 @@ class Encoder:
         counts = np.bincount(piece_text, weights=each, minlength=len(bounds) - 1).astype(np.int64)
         return counts, ids
 
+    def decode(self, ids: list[int]) -> str:
+        """The text of a list of ids; bytes that are no UTF-8 by themselves (a list cut within a character) become replacement characters."""
+        return self._encoding.decode_bytes(list(ids)).decode("utf-8", "replace")
+
     def pieces(self, text: str) -> list[tuple[int, int, list[int]]]:
         """``(start, end, ids)`` of each piece of one text, in code points."""
         cp = np.frombuffer(text.encode("utf-32-le"), "<u4")
@@ -181,6 +193,19 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
+def decode_column(df: DataFrame, key: str = "doc_id", ids: str = "ids", tokenizer: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
+    """``key, text``: the text of every list of ids; of a null list null, of an empty one the empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer, folder)
+        for batch in batches:
+            texts = [None if x is None else encoder.decode(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key), F.col(ids)).mapInArrow(run, f"`{key}` {kind}, text string")
+
+
 def count_column(df: DataFrame, key: str, text: str, tokenizer: str, folder: str = VOCABULARIES) -> DataFrame:
     """``key, n_tokens``; as :func:`encode_column`, with the ids counted where they arise."""
 
@@ -192,3 +217,14 @@ def count_column(df: DataFrame, key: str, text: str, tokenizer: str, folder: str
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint")
+
+
+def round_trip(documents: DataFrame) -> DataFrame:
+    """``doc_id, n_tokens, intact``: whether a document's ids decode to its exact text (a null one to the empty text)."""
+    ids = encode_column(documents)
+    back = decode_column(ids).select("doc_id", F.xxhash64("text").alias("back")).groupBy("doc_id", "back").count()
+    sizes = ids.select("doc_id", F.size("ids").alias("n_tokens"))
+    texts = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    met = texts.join(back.select("doc_id", F.col("back").alias("h"), F.col("count").alias("m")), ["doc_id", "h"], "left")
+    intact = met.groupBy("doc_id").agg((F.sum(F.coalesce("m", F.lit(0))) == F.sum("n")).alias("intact"))
+    return sizes.join(intact, "doc_id")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from mycelia.llm import frequency, packing, tokenizer
 
@@ -107,3 +108,22 @@ def test_neighbours_by_brute_force():
     for q, near in enumerate(packing.bm25_neighbours(ids, offsets)):
         want = sorted((d for d in range(n) if d != q and score(q, d) > 0), key=lambda d: (-round(score(q, d), 12), d))
         assert near.tolist() == want
+
+
+def test_ids_decode_and_scans_compose(spark):
+    import numpy as np
+
+    texts = ["Été: it's 5.9 °C,  we'll see\n\n'tis 我们 🙂", "", None, " ", "x" * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id bigint, text string").withColumn("ids", F.lit("clash"))
+    back = {r.doc_id: r.text for r in tokenizer.decode_column(tokenizer.encode_column(rows)).collect()}
+    assert back == {i: t or "" for i, t in enumerate(texts)}
+    assert {r.doc_id: r.intact for r in tokenizer.round_trip(rows).collect()} == dict.fromkeys(range(5), True)
+    encoder = tokenizer.Encoder("byte_bpe_50k")
+    pieces = encoder.pieces(texts[0])
+    assert "".join(texts[0][a:b] for a, b, _ in pieces) == texts[0] and all(encoder.decode(ids) == texts[0][a:b] for a, b, ids in pieces)
+    # a scan of a whole equals the scans of its parts put together: the last reset of the left part carries over
+    reset = np.array([1, 0, 0, 1, 0, 0, 0, 1, 0], bool)
+    whole = tokenizer.scan(reset)
+    for cut in range(1, 9):
+        left, right = tokenizer.scan(reset[:cut]), np.where(reset[cut:], np.arange(cut, 9), -1)
+        assert (np.concatenate([left, np.maximum(np.maximum.accumulate(right), left[-1])]) == whole).all()
