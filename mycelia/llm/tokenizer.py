@@ -54,7 +54,8 @@ def class_table() -> np.ndarray:
 
 def scan(reset: np.ndarray) -> np.ndarray:
     """The prefix scan of reset/hold functions: for every place the last place at or before it that resets. ``reset[0]`` must be true."""
-    return np.maximum.accumulate(np.where(reset, np.arange(len(reset), dtype=np.int64), -1))
+    at = np.arange(len(reset), dtype=np.int32)  # a block is far shorter than 2^31
+    return np.maximum.accumulate(np.multiply(at, reset, out=at), out=at)
 
 
 def piece_starts(cp: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
@@ -94,7 +95,7 @@ def piece_starts(cp: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
         after = np.concatenate([quote[one] + 2, quote[two & ~one] + 3])
         start[after[after < n]] = True
     piece = scan(start)
-    return np.flatnonzero(piece == np.arange(n))
+    return np.flatnonzero(np.diff(piece, prepend=np.int32(-1)))
 
 
 @lru_cache(maxsize=4)

@@ -105,9 +105,34 @@ def test_neighbours_by_brute_force():
             out += weight(d) if df[t] > 1 else 0
         return out
 
-    for q, near in enumerate(packing.bm25_neighbours(ids, offsets)):
-        want = sorted((d for d in range(n) if d != q and score(q, d) > 0), key=lambda d: (-round(score(q, d), 12), d))
-        assert near.tolist() == want
+    near = packing.Neighbours(ids, offsets)
+    for q in range(n):
+        assert np.allclose(near[q], [score(q, d) if d != q else 0 for d in range(n)], atol=1e-6)
+    # the statistics of all documents, not of the shard, weigh the terms
+    wide = packing.Neighbours(ids, offsets, packing.Statistics(np.array([0, 400, 30, 2, 2, 1, 1, 1, 1, 1]), 1000, 9000))
+    assert wide[0][1] > 0 == near[0][1] or near[0][1] > 0
+    few = packing.Neighbours(ids, offsets, query_terms=1)
+    assert (few[0] <= near[0] + 1e-6).all()
+    scores = np.array([3, 1, 2, 2, 0.5] * 60)
+    head, rest = packing.head_of(scores, np.arange(300), 48)
+    assert head.tolist() == sorted(range(300), key=lambda i: (-scores[i], i))[: len(head)] and len(head) + len(rest) == 300 and len(head) >= 48
+
+
+def test_shards_follow_what_is_said(spark):
+    import numpy as np
+
+    words = {"a": "wave node charge graph heat", "b": "волна узел заряд граф тепло", "c": "波动 节点 电荷 图 热量"}
+    rows = [(i, " ".join(words["abc"[i % 3]].split()[(i + j) % 5] for j in range(12))) for i in range(240)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    centres = packing.fitted(packing.profiles_of(pa.array([t for _, t in rows])), 3)
+    shard = {r.doc_id: r.shard for r in packing.dealt(table, centres, np.ones(3, np.int64)).collect()}
+    assert len({shard[i] for i in range(3)}) == 3 and all(shard[i] == shard[i % 3] for i in shard)
+    assert packing.profiles_of(pa.array(["", None, "x" * 100_000])).shape == (3, packing.DIMENSIONS)
+    found = packing.statistics(table.unionByName(table), "byte_bpe_50k", tokenizer.VOCABULARIES)
+    ids = [tokenizer.Encoder("byte_bpe_50k").encode(pa.array([t]))[1] for _, t in rows]
+    assert found.documents == 480 and found.tokens == 2 * sum(map(len, ids))
+    want = np.bincount(np.concatenate([np.unique(x) for x in ids]))
+    assert (found.df == 2 * want).all()
 
 
 def test_ids_decode_and_scans_compose(spark):
