@@ -424,10 +424,26 @@ def assemble(lines: list[tuple[str, bool, bool, dict]]) -> list[str]:
     return [*out, text] if text else out
 
 
+def own_lines(lines: list[tuple[bool, tuple]]) -> list[tuple]:
+    """The lines of a stretch's own records; a word divided over its borders belongs to the stretch where it begins."""
+    body = [i for i, (_, line) in enumerate(lines) if line[0].strip() and not line[1]]
+    own = {i: line for i, (mine, line) in enumerate(lines) if mine}
+    for here, after in zip(body, body[1:]):
+        if lines[here][1][2] and lines[here][0] != lines[after][0]:
+            line, furniture, divided, fixes = lines[after][1]
+            first, _, rest = line.strip().partition(" ")
+            if after in own:
+                own[after] = (rest, furniture, divided, fixes)
+            else:
+                own[after] = (first, False, False, fixes)
+    return [own[i] for i in sorted(own)]
+
+
 def paragraphs(sentence_data: DataFrame, lang_sample: DataFrame) -> DataFrame:
     """``file_path, stretch, par_no, text``: the repaired paragraphs of every scanned file in reading order.
 
-    Furniture is left out, so a sentence goes on over the end of a page; a new record begins no paragraph.
+    Furniture is left out, so a sentence goes on over the end of a page; a new record begins no paragraph. A paragraph that crosses
+    the border of a stretch comes out in two parts.
     """
     samples = sample_sentences(lang_sample)
     marks = line_repairs(sentence_data, lang_sample).drop("path").distinct()
@@ -444,7 +460,7 @@ def paragraphs(sentence_data: DataFrame, lang_sample: DataFrame) -> DataFrame:
         key, last, lines = None, None, []
 
         def flush() -> list[tuple]:
-            return [(*key, i, p) for i, p in enumerate(assemble(lines))] if key else []
+            return [(*key, i, p) for i, p in enumerate(assemble(own_lines(lines)))] if key else []
 
         columns = ["file_path", "stretch", "par_no", "text"]
         for batch in batches:
@@ -460,7 +476,7 @@ def paragraphs(sentence_data: DataFrame, lang_sample: DataFrame) -> DataFrame:
                 for i, line in enumerate((fix(text)[0] or "").split("\n")):
                     m = at.get(i)
                     fixes = {f["word"]: f["repair"] for f in m["fixes"]} if m is not None else {}
-                    lines.append((line, m is not None and bool(m["furniture"]), m is not None and bool(m["divided"]), fixes))
+                    lines.append((own, (line, m is not None and bool(m["furniture"]), m is not None and bool(m["divided"]), fixes)))
             yield pd.DataFrame(out, columns=columns)
         yield pd.DataFrame(flush(), columns=columns)
 

@@ -180,6 +180,8 @@ def test_borders_of_stretches_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(pages, "OVERLAP", 3)
     assert {tuple(r) for r in scans.lines_to_repair(records(spark, rows), sample_table(spark)).collect()} == whole
     assert {(i, 0, k) for i in range(1, 39, 2) for k in ("break", "chars")} <= whole
+    text = " ".join(r.text for r in scans.paragraphs(records(spark, rows), sample_table(spark)).orderBy("stretch", "par_no").collect())
+    assert text.count("particle") == 19 and text.split().count("theorem") == 20 and "parti " not in text and " cle " not in text
 
 
 def test_pages(spark):
