@@ -191,7 +191,7 @@ class Neighbours:
         doc, term, weight = doc[keep], term[keep], weight[keep].astype(np.float32)
         self.terms, self.weight, self.first = term, idf[term], np.searchsorted(doc, np.arange(n + 1))
         by_term = np.argsort(term, kind="stable")
-        self.posting_doc, self.posting_weight = doc[by_term], weight[by_term]
+        self.posting_doc, self.posting_weight = doc[by_term].astype(np.intp), weight[by_term].astype(np.float64)
         self.start = np.searchsorted(term[by_term], np.arange(vocabulary + 1))
         self._made: dict[int, np.ndarray] = {}
 
@@ -206,13 +206,11 @@ class Neighbours:
         terms = self.terms[own]
         if len(terms) > self.query_terms:
             terms = terms[np.argpartition(-self.weight[own], self.query_terms)[: self.query_terms]]
-        a = self.start[terms]
-        lens = self.start[terms + 1] - a
-        total = int(lens.sum())
-        if not total:
+        spans = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)]
+        if not spans:
             return np.zeros(self.n, np.float32)
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(total)
-        score = np.bincount(self.posting_doc[at], weights=self.posting_weight[at], minlength=self.n).astype(np.float32)
+        docs, weights = (np.concatenate([column[x] for x in spans]) for column in (self.posting_doc, self.posting_weight))
+        score = np.bincount(docs, weights=weights, minlength=self.n).astype(np.float32)
         score[q] = 0
         return score
 
