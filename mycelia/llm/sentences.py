@@ -141,7 +141,7 @@ def units(text: Column) -> Column:
 
 def is_plain_text(path: Column) -> Column:
     """Records that come from neither a web page nor paged print, by the suffix of the path in any case."""
-    return ~F.coalesce(path.rlike("(?i)\\.(html|pdf)$"), F.lit(False))
+    return ~F.coalesce(path.rlike("(?i)\\.(html|pdf)\\z"), F.lit(False))
 
 
 def sentence_units(sentence_data: DataFrame, lang_sample: DataFrame) -> DataFrame:

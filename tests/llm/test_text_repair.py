@@ -107,6 +107,13 @@ def test_starts_in_garbled_text_are_places_of_the_stored_text(spark):
     assert got == [0, bad.index("L\u00c3")]
 
 
+def test_records_of_no_page_are_plain_text(spark):
+    paths = ["a.txt", "a", "", None, "a.html.txt", "a.html ", "a.html\n", "a.html\r\n", "a.pdf\x85", "a.pdf\u2028", "a.HTML", "a.Pdf", "a\n.html"]
+    rows = [(i, path, "en", "One. Two.", None) for i, path in enumerate(paths)]
+    got = sorted((r.rec_id, r.start_pos) for r in sentences.sentence_starts(records(spark, rows), sample_table(spark)).collect())
+    assert got == [(i, p) for i in range(10) for p in (0, 5)]
+
+
 def test_languages(spark):
     own = {lang: " ".join(t for k, t in CLEAN if k == lang) for lang in dict(CLEAN)}
     c = language.Classifier(own)
