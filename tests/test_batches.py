@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from mycelia.operators import batches as B
 
 NODES, ASKED = 800, 300
-QUERIES = ("active_nodes", "induced_subgraph_compat", "significant_nodes", "spread_3",)
+QUERIES = ("active_nodes", "induced_subgraph_compat", "significant_nodes", "spread_3", "capped_edges",)
 
 
 @pytest.fixture(scope="module")
