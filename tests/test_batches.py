@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from mycelia.operators import batches as B
 
 NODES, ASKED = 800, 300
-QUERIES = ("active_nodes", "induced_subgraph_compat", "significant_nodes", "spread_3", "capped_edges", "render_answer", "significant_nodes_compat", "top_k_activated", "induced_subgraph", "render_context",)
+QUERIES = ("active_nodes", "induced_subgraph_compat", "significant_nodes", "spread_3", "capped_edges", "render_answer", "significant_nodes_compat", "top_k_activated", "induced_subgraph", "render_context", "spread_2_bidirectional",)
 
 
 @pytest.fixture(scope="module")
