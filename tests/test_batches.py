@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from mycelia.operators import batches as B
 
 NODES, ASKED = 800, 300
-QUERIES = ("active_nodes", "induced_subgraph_compat", "significant_nodes", "spread_3", "capped_edges", "render_answer", "significant_nodes_compat", "top_k_activated", "induced_subgraph", "render_context", "spread_2_bidirectional",)
+QUERIES = ("active_nodes", "induced_subgraph_compat", "significant_nodes", "spread_3", "capped_edges", "render_answer", "significant_nodes_compat", "top_k_activated", "induced_subgraph", "render_context", "spread_2_bidirectional")
 
 
 @pytest.fixture(scope="module")
@@ -20,8 +20,8 @@ def tables(tmp_path_factory):
     d, con = str(tmp_path_factory.mktemp("hub")), duckdb.connect()
     for name, sql in {
         "graph_node": f"SELECT i AS node_id, 'word' || i AS lemma FROM range({NODES + 1}) t(i)",
-        "graph_edge": f"""SELECT row_number() OVER () AS edge_id, * FROM (SELECT 0::BIGINT AS from_node_id, i AS to_node_id, 2 AS dep_type, 1 AS repetition_counter, i AS last_activated_op_count, 0.1 + i % 7 AS conductance
- FROM range(1, {NODES}) t(i) UNION ALL SELECT i, (i * 7 + 1) % {NODES}, 3, 2, i, 0.2 FROM range({NODES}) t(i))""",
+        "graph_edge": f"""SELECT row_number() OVER () AS edge_id, * FROM (SELECT 0::BIGINT AS from_node_id, i AS to_node_id, 2 AS dep_type, 1 AS repetition_counter, i AS last_activated_op_count, 0.1::DOUBLE + i % 7 AS conductance
+ FROM range(1, {NODES}) t(i) UNION ALL SELECT i, (i * 7 + 1) % {NODES}, 3, 2, i, 0.2::DOUBLE FROM range({NODES}) t(i))""",
         "user_question": f"SELECT i AS query_id, CASE i % 4 WHEN 0 THEN 'what is word0' WHEN 1 THEN 'word0 and word5' WHEN 2 THEN 'why word{NODES} or word3' ELSE 'nothing here' END AS query_text FROM range(1, {ASKED + 1}) t(i)",
         "dep_label": "SELECT 2 AS dep_code, 'nsubj' AS dep_name UNION ALL SELECT 3, 'dobj'",
     }.items():
